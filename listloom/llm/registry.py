@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, html, langid, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
+    "op4_html_text": html.op4_html_text,
+    "op6_language_id": langid.op6_language_id,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
