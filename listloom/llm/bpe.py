@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str | N
     ranks, pattern = _default(ranks, pattern)
 
     @F.pandas_udf("array<int>")
-    def run(texts: Iterator) -> Iterator:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(ranks, pattern)
         for batch in texts:
             yield batch.fillna("").map(lambda t: encode_text(t, enc))
@@ -79,7 +80,7 @@ def decode(docs: DataFrame, ids: str = "ids", data: str = "decoded", ranks: str
     ranks, pattern = _default(ranks, pattern)
 
     @F.pandas_udf("binary")
-    def run(rows: Iterator) -> Iterator:
+    def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(ranks, pattern)
         for batch in rows:
             yield batch.map(lambda x: None if x is None else enc.decode_bytes(list(x)))

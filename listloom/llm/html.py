@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     """pages with a column of main texts; a column of that name in pages is replaced."""
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(main_text, na_action=None)
 
