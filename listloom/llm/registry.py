@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, quality
+from . import bpe, decontaminate, html, langid, pii, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op4_html_text": html.op4_html_text,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_language_id": langid.op6_language_id,
+    "op7_pii": pii.op7_pii,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
