@@ -35,7 +35,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
 def packed(chunk: int, bucket: np.ndarray, values: np.ndarray) -> pa.Table:
     """Rows (chunk, bucket, packed values) from values in order of their buckets."""
     names, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(bucket))
+    ends = np.append(first, len(bucket))[1:]
     return pa.table({
         "chunk": pa.array(np.full(len(names), chunk, np.int32)),
         "bucket": pa.array(names.astype(np.int32)),
@@ -94,7 +94,7 @@ def shared(sent: DataFrame) -> DataFrame:
 def answers(bucket: int, chunks: list[int], row: np.ndarray, values: np.ndarray) -> pa.Table:
     """Rows of answers from values in order of the rows that they came in."""
     names, first = np.unique(row, return_index=True)
-    ends = np.append(first[1:], len(row))
+    ends = np.append(first, len(row))[1:]
     return pa.table({
         "chunk": pa.array([chunks[r] for r in names], pa.int32()),
         "bucket": pa.array(np.full(len(names), bucket, np.int32)),

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, pii, quality, substrings
+from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_embedding_dedup": embeddings.op2_embedding_dedup,
+    "op3_minhash": minhash.op3_minhash,
     "op4_html_text": html.op4_html_text,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_language_id": langid.op6_language_id,
