@@ -74,11 +74,16 @@ def joined(rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), rows.column("chunk").to_pylist()
 
 
-def shared(sent: DataFrame) -> DataFrame:
-    """Answers to each chunk: those of its 4-byte hashes that another chunk has sent to the same bucket."""
+def shared(sent: DataFrame, kind=np.uint32) -> DataFrame:
+    """Answers to each chunk: those of its hashes that another chunk has sent to the same bucket.
+
+    Rows of a negative bucket are a chunk's notes to itself; they come back as they are.
+    """
 
     def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        values, row, chunks = joined(rows, np.uint32)
+        if key[0].as_py() < 0:
+            return rows.select(["chunk", "bucket", "hashes"])
+        values, row, chunks = joined(rows, kind)
         order = np.argsort(values, kind="stable")
         ordered = values[order]
         twin = np.zeros(len(ordered), bool)

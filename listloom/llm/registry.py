@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings
+from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": langid.op6_language_id,
     "op7_pii": pii.op7_pii,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
