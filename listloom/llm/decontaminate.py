@@ -52,22 +52,21 @@ def walk_keys(strings: np.ndarray, n: int, seeds: list[int], sampled: int = SAMP
     """Keys (repetitions x rows) of rows of n word hashes (rows x n)."""
     rows = np.arange(len(strings))
     padded = np.concatenate((strings, np.zeros((len(strings), 1), np.uint64)), axis=1)
-    out = np.zeros((len(seeds), len(strings)), np.uint64)
+    salt, sampled_at = np.zeros((len(seeds), 2 * n), np.uint64), np.zeros((len(seeds), 2 * n), bool)
     for k, seed in enumerate(seeds):
         rng = np.random.Generator(np.random.PCG64(seed))
         # The pointer is past the end after about 2n of the 3n steps; later steps are padding and tell nothing.
-        steps = np.sort(rng.choice(2 * n, min(sampled, 2 * n), replace=False))
-        at = np.zeros(len(strings), np.int64)
-        salt = rng.integers(1, 2**63, 3 * n, dtype=np.uint64)
-        key = np.full(len(strings), seed, np.uint64)
-        for j in range(int(steps[-1]) + 1):
-            word = padded[rows, at]
-            mixed = K.mix(word ^ salt[j])
-            if j in steps:
-                key = K.mix(key ^ mixed)
-            at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), n)
-        out[k] = key
-    return out
+        sampled_at[k, rng.choice(2 * n, min(sampled, 2 * n), replace=False)] = True
+        salt[k] = rng.integers(1, 2**63, 2 * n, dtype=np.uint64)
+    at = np.zeros((len(seeds), len(strings)), np.int64)
+    key = np.repeat(np.array(seeds, np.uint64)[:, None], len(strings), axis=1)
+    for j in range(2 * n):
+        mixed = K.mix(padded[rows, at] ^ salt[:, j, None])
+        own = np.flatnonzero(sampled_at[:, j])
+        if len(own):
+            key[own] = K.mix(key[own] ^ mixed[own])
+        at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), n)
+    return key
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -92,7 +91,9 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(flags)))
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
 
 
 class Block:
@@ -110,6 +111,7 @@ class Block:
             self.by_length[len(words)].append(k)
         changes = [int((w[1:] != w[:-1]).sum()) for _, w in self.items]
         self.varied = {n: min(changes[k] for k in own) for n, own in self.by_length.items()}
+        self.least_pairs = min((n - 2 * int(edits * n) for n in self.by_length), default=0)
         self.repeats = self._repeats(recall)
         self._keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -159,23 +161,28 @@ class Block:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(hashes) or not self.items:
             return []
-        known = _running(_among(hashes, self.vocabulary))
         pairs_known = _running(_among(K.window_hashes(hashes, 2), self.pairs))
+        if pairs_known[-1] + 1 < self.least_pairs:
+            return []
+        known = _running(_among(hashes, self.vocabulary))
         changed = _running(hashes[1:] != hashes[:-1])
         first = np.searchsorted(owner, np.arange(len(at)))
         for n in self.by_length:
             most = int(self.edits * n)
             if len(hashes) < n:
                 continue
-            good = (known[n:] - known[:-n] >= n - most) & K.whole_windows(owner, n)
+            # The rarest condition is tried everywhere, the others only where it holds.
             if n > 1:
-                good &= pairs_known[n - 1 :] - pairs_known[: len(pairs_known) - n + 1] >= n - 1 - 2 * most
-                good &= changed[n - 1 :] - changed[: len(changed) - n + 1] >= self.varied[n] - 2 * most
-            starts = np.flatnonzero(good)
+                starts = np.flatnonzero(pairs_known[n - 1 :] - pairs_known[: len(pairs_known) - n + 1] >= n - 1 - 2 * most)
+                starts = starts[changed[starts + n - 1] - changed[starts] >= self.varied[n] - 2 * most]
+            else:
+                starts = np.arange(len(hashes))
+            starts = starts[known[starts + n] - known[starts] >= n - most]
+            starts = starts[owner[starts] == owner[starts + n - 1]]
             if not len(starts):
                 continue
             keys, which = self.keys(n)
-            for some in np.array_split(starts, len(starts) // 20_000 + 1):
+            for some in np.array_split(starts, len(starts) // 10_000 + 1):
                 windows = hashes[some[:, None] + np.arange(n)]
                 pairs = set()
                 for mine in walk_keys(windows, n, self.seeds(n)):
@@ -220,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column(0).to_pylist()
                 data, at = K.utf8(batch.column(1))
                 rows = []
-                for i, j in K.blocks(at):
+                for i, j in K.blocks(at, 1 << 22):
                     rows += [(ids[i + doc], *rest) for doc, *rest in held.value.find(data[at[i] : at[j]], at[i : j + 1] - at[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
@@ -242,7 +249,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for batch in batches:
                 data, where = K.utf8(batch.column(at))
                 good = np.ones(batch.num_rows, bool)
-                for i, j in K.blocks(where):
+                for i, j in K.blocks(where, 1 << 22):
                     for doc, *_ in held.value.find(data[where[i] : where[j]], where[i : j + 1] - where[i]):
                         good[i + doc] = False
                 yield batch.filter(pa.array(good))
