@@ -1,6 +1,470 @@
-"""All registered queries with their oracle SQL."""
+"""All registered queries of the rule engine with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..functions import lines as L
+from ..functions import naming as N
+from ..operators import artifacts, bloom, catalog, increment, match, rules, trie, validate
+from ..sources import fixtures as X
+from ..sources import lists as S
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SECURITY = ("list_0", "list_1", "list_2", "list_3")
+UPDATED = "2024-06-01T00:00:00Z"
+BASE = "https://lists.example.com/"
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach; a local one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(spark, sf):
+    return X.filter_lines(spark, sf)
+
+
+def _trimmed(spark, sf):
+    return rules.trimmed(_lines(spark, sf))
+
+
+def _rules(spark, sf):
+    return rules.first_seen(_lines(spark, sf))
+
+
+def _domains(spark, sf):
+    return rules.domains(_rules(spark, sf))
+
+
+def _counted(spark, sf):
+    lines = _lines(spark, sf)
+    return rules.counts(rules.first_seen(lines), lines)
+
+
+def _lists(spark, sf):
+    return _lines(spark, sf).select("list_id").distinct().select("list_id", F.concat(F.lit(BASE), "list_id").alias("url"))
+
+
+def _joined(path="path"):
+    return F.array_join(path, "/").alias("path")
+
+
+def line():
+    return F.col("line")
+
+
+@query
+def scan_list_lines(spark, sf):
+    lines = _lines(spark, sf).groupBy("list_id").agg(F.count("*").alias("n_lines"), F.max(F.octet_length("raw")).alias("longest"))
+    return lines.withColumn("too_long", F.col("longest") >= S.LONGEST)
+
+
+@query
+def trim_lines(spark, sf):
+    return _trimmed(spark, sf)
+
+
+@query
+def drop_comments(spark, sf):
+    return _trimmed(spark, sf).where(~L.is_comment(line()))
+
+
+def _of_kind(kind: str) -> Query:
+    return lambda spark, sf: _rules(spark, sf).where(F.col("kind") == kind).select("list_id", "text", "first_line")
+
+
+for _kind in ("scriptlet", "cosmetic", "domain"):
+    QUERIES[f"{_kind}_rules"] = _of_kind(_kind)
+
+
+def _names(name) -> Query:
+    def run(spark, sf):
+        return L.with_domain(_trimmed(spark, sf), name(line())).where("domain is not null").select("list_id", "line_no", "domain")
+
+    return run
+
+
+for _form, _name in (("adblock", L.adblock_name), ("hosts", L.hosts_name), ("plain", L.plain_name)):
+    QUERIES[f"domains_{_form}"] = _names(_name)
+
+
+@query
+def reject_reserved(spark, sf):
+    named = L.once(_trimmed(spark, sf), "name", L.hosts_name(line())).select("list_id", "line_no", "name")
+    return named.where(L.is_reserved(L.lower(L.trim(F.col("name")))))
+
+
+@query
+def reject_ip(spark, sf):
+    return L.once(_trimmed(spark, sf), "name", L.plain_name(line())).select("list_id", "line_no", "name").where(L.is_address(F.col("name")))
+
+
+@query
+def classify_lines(spark, sf):
+    return rules.classified(_lines(spark, sf))
+
+
+@query
+def classify_noise(spark, sf):
+    each = L.with_rules(L.once(X.noise_lines(spark, sf), "line", L.trim(F.col("raw")))).select("doc_id", F.col("rules")["kind"].alias("kinds"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.array_contains("kinds", "cosmetic")).alias("cosmetic"), F.count_if(F.array_contains("kinds", "domain")).alias("domains"))
+
+
+@query
+def reversed_labels(spark, sf):
+    return _domains(spark, sf).select("list_id", "domain", F.array_join(L.reversed_labels(F.col("domain")), "/").alias("labels"))
+
+
+@query
+def rules_first_seen(spark, sf):
+    return _rules(spark, sf)
+
+
+@query
+def rule_counts(spark, sf):
+    return _counted(spark, sf)
+
+
+@query
+def empty_lists(spark, sf):
+    return rules.empty(_counted(spark, sf))
+
+
+@query
+def trie_nodes(spark, sf):
+    return trie.nodes(_domains(spark, sf)).select("list_id", _joined(), "depth", "is_terminal")
+
+
+@query
+def trie_children(spark, sf):
+    return trie.children(trie.nodes(_domains(spark, sf))).select("list_id", _joined(), "child_count", "child_bytes")
+
+
+@query
+def trie_stats(spark, sf):
+    return trie.stats(trie.nodes(_domains(spark, sf)))
+
+
+@query
+def trie_bfs(spark, sf):
+    return trie.laid_out(trie.nodes(_domains(spark, sf))).select("list_id", _joined(), "depth", "bfs_index")
+
+
+@query
+def trie_offsets(spark, sf):
+    return trie.laid_out(trie.nodes(_domains(spark, sf))).select("list_id", _joined(), "bfs_index", "byte_offset")
+
+
+@query
+def fnv1a64(spark, sf):
+    return _domains(spark, sf).select("list_id", "domain", H.number(H.fnv1a(F.col("domain"))).cast("string").alias("h1"))
+
+
+@query
+def fnv1_64(spark, sf):
+    return _domains(spark, sf).select("list_id", "domain", H.number(H.fnv1(F.col("domain"))).cast("string").alias("f1"))
+
+
+@query
+def bloom_params(spark, sf):
+    return bloom.params(_domains(spark, sf))
+
+
+@query
+def bloom_positions(spark, sf):
+    domains = _domains(spark, sf)
+    return bloom.positions(domains, bloom.params(domains))
+
+
+@query
+def bloom_bytes(spark, sf):
+    domains = _domains(spark, sf)
+    return bloom.filter_bytes(bloom.positions(domains, bloom.params(domains)))
+
+
+def _probed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suffixes of all names with whether the filter of all lists may hold them and whether a rule has them."""
+    merged = bloom.merged(_domains(spark, sf))
+    size = bloom.params(merged).first()
+    names = match.suffixes(X.dns_queries(spark, sf))
+    if size is None:
+        return names, names.select(F.col("suffix").alias("name")).limit(0)
+    bytes_ = bloom.filter_bytes(bloom.positions(merged, bloom.params(merged)))
+    return names, bloom.probe(names.select(F.col("suffix").alias("name")), size["bit_count"], size["hash_count"], bytes_)
+
+
+@query
+def bloom_probe(spark, sf):
+    """Names that the filter lets through: some suffix may be a rule."""
+    names, maybe = _probed(spark, sf)
+    return names.join(maybe.withColumnRenamed("name", "suffix"), "suffix", "left_semi").select("qname").distinct()
+
+
+@query
+def bloom_fp_rate(spark, sf):
+    """Distinct suffixes without a rule, and the share of them that the filter lets through."""
+    names, maybe = _probed(spark, sf)
+    clean = names.select("suffix").distinct().join(_domains(spark, sf).select(F.col("domain").alias("suffix")), "suffix", "left_anti")
+    flagged = clean.join(maybe.select(F.col("name").alias("suffix"), F.lit(1).alias("hit")), "suffix", "left")
+    return flagged.agg(F.count("*").alias("n_clean"), F.count("hit").alias("n_false"), (F.count("hit") / F.count("*")).alias("rate"))
+
+
+@query
+def match_blocked(spark, sf):
+    return match.blocked(X.dns_queries(spark, sf), _domains(spark, sf))
+
+
+@query
+def match_clean(spark, sf):
+    return match.clean(X.dns_queries(spark, sf), _domains(spark, sf))
+
+
+@query
+def match_rule(spark, sf):
+    return match.matched_rule(X.dns_queries(spark, sf), _domains(spark, sf))
+
+
+def _sides(spark, sf):
+    domains = _domains(spark, sf)
+    one = domains.where(F.col("list_id").isin(*SECURITY)).select("domain").distinct()
+    return one, domains.where(~F.col("list_id").isin(*SECURITY)).select("domain").distinct()
+
+
+def _custom(spark, sf):
+    named = X.dns_queries(spark, sf).where("query_id % 97 = 0")
+    return named.groupBy("qname").agg((F.min("query_id") % 2).cast("int").alias("action"))
+
+
+@query
+def dns_verdict(spark, sf):
+    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), *_sides(spark, sf))
+
+
+@query
+def stream_verdict(spark, sf):
+    """The verdicts again, from a stream over the landed names."""
+    from ..streaming import live
+
+    landed, target, state = (shared_folder(spark, f"verdict-{x}") for x in ("landed", "out", "state"))
+    names = X.dns_queries(spark, sf)
+    names.write.parquet(landed)
+    live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), *_sides(spark, sf), target, state)
+    return spark.read.parquet(target).select("query_id", "ts", "qname", "verdict")
+
+
+@query
+def refresh_lists(spark, sf):
+    """Status and size of every list, compiled from a stream over the landed lines."""
+    from ..streaming import live
+
+    landed, target, state = (shared_folder(spark, f"refresh-{x}") for x in ("landed", "out", "state"))
+    _lines(spark, sf).write.parquet(landed)
+    live.refresh(spark, landed, target, state, UPDATED)
+    sizes = artifacts.bundle_size(artifacts.published(spark, f"{target}/artifacts"))
+    return spark.read.parquet(f"{target}/runs").select("list_id", "status", "rule_count").join(sizes, "list_id", "left")
+
+
+@query
+def catalog_all(spark, sf):
+    return X.filter_lists(spark, sf).orderBy("name", "id")
+
+
+@query
+def catalog_by_url(spark, sf):
+    rows = X.filter_lists(spark, sf)
+    return rows.where(F.col("url") == rows.agg(F.min("url")).first()[0])
+
+
+@query
+def catalog_dup_urls(spark, sf):
+    return catalog.duplicate_urls(X.read(spark, sf, "pages"))
+
+
+@query
+def catalog_search(spark, sf):
+    return catalog.found(X.filter_lists(spark, sf), "st_1")
+
+
+@query
+def catalog_sorted(spark, sf):
+    """The first hundred by rule count, with their places: a top-k report."""
+    top = catalog.page(X.filter_lists(spark, sf), limit=100, sort="rule")
+    place = F.row_number().over(catalog.Window.orderBy(*catalog.order_columns("rule")))
+    return top.select("id", "name", "rule_count", place.alias("place"))
+
+
+@query
+def catalog_page(spark, sf):
+    return catalog.page(X.filter_lists(spark, sf), page=2, limit=0, search="list", sort="size", order="asc")
+
+
+@query
+def catalog_meta(spark, sf):
+    return catalog.meta(X.filter_lists(spark, sf), page=2, limit=0, search="list")
+
+
+@query
+def catalog_upsert(spark, sf):
+    rows = X.filter_lists(spark, sf)
+    return catalog.upsert(rows, X.upsert_batch(rows), X.NOW)
+
+
+@query
+def catalog_delete(spark, sf):
+    rows = X.filter_lists(spark, sf)
+    return catalog.delete(rows, rows.where("id % 7 = 0").select("url"))[0].select("id", "name", "url")
+
+
+@query
+def build_todo(spark, sf):
+    rows = X.filter_lists(spark, sf)
+    return catalog.to_build(X.upsert_batch(rows).select("name", "url"), rows).select("name", "url")
+
+
+@query
+def build_cached(spark, sf):
+    rows = X.filter_lists(spark, sf)
+    return catalog.cached(X.upsert_batch(rows), rows).select("id", "name", "url")
+
+
+@query
+def run_summary(spark, sf):
+    ok = validate.line_verdicts(X.fetch_log(spark, sf), "page_id")
+    runs = ok.select((F.col("page_id") % 5).alias("run_id"), F.when(F.col("is_list"), "ok").otherwise("failed").alias("status"), F.lit("compile").alias("stage"))
+    return catalog.run_summary(runs)
+
+
+@query
+def derive_name(spark, sf):
+    return X.read(spark, sf, "pages").select("page_id", "url", N.derive_name(F.col("url")).alias("name"))
+
+
+@query
+def format_bytes(spark, sf):
+    n = (F.col("l_orderkey") * F.col("l_partkey") * (F.col("l_linenumber") + 1) * 37).cast("long").alias("n")
+    return X.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", n).withColumn("size", N.format_bytes(F.col("n")))
+
+
+@query
+def download_link(spark, sf):
+    return X.filter_lists(spark, sf).select("id", N.download_link(BASE, F.col("name"), F.col("last_updated")).alias("link"))
+
+
+@query
+def url_scheme_check(spark, sf):
+    return X.read(spark, sf, "pages").select("page_id", "url", validate.has_scheme(F.col("url")).alias("ok"))
+
+
+@query
+def content_type_check(spark, sf):
+    return X.fetch_log(spark, sf).select("page_id", "content_type", validate.bad_type(F.col("content_type")).alias("bad"))
+
+
+@query
+def html_check(spark, sf):
+    return X.fetch_log(spark, sf).select("page_id", validate.is_html(F.col("body")).alias("is_html"), (F.octet_length("body") == 0).alias("is_empty"))
+
+
+@query
+def signature_lines(spark, sf):
+    return _trimmed(spark, sf).groupBy("list_id").agg(F.count_if(L.is_signature(line())).alias("signature"), F.count_if(L.looks_like_domain(line())).alias("plain"))
+
+
+@query
+def list_verdict(spark, sf):
+    log = X.fetch_log(spark, sf)
+    return log.select("page_id", "url").join(validate.line_verdicts(log, "page_id"), "page_id")
+
+
+@query
+def validate_fetch(spark, sf):
+    return validate.checked(X.fetch_log(spark, sf)).select("page_id", "url", "problem")
+
+
+@query
+def artifact_trie(spark, sf):
+    return artifacts.trie_parts(_domains(spark, sf))
+
+
+@query
+def artifact_bloom(spark, sf):
+    return artifacts.bloom_parts(_domains(spark, sf))
+
+
+@query
+def artifact_css(spark, sf):
+    return artifacts.css_parts(_rules(spark, sf)).select("list_id", "part", F.decode("content", "UTF-8").alias("content"))
+
+
+@query
+def artifact_scriptlets(spark, sf):
+    return artifacts.scriptlet_parts(_rules(spark, sf)).select("list_id", F.decode("content", "UTF-8").alias("content"))
+
+
+@query
+def artifact_info(spark, sf):
+    text = F.decode("content", "UTF-8")
+    parts = artifacts.info_parts(_counted(spark, sf), _lists(spark, sf), UPDATED)
+    return parts.select("list_id", F.get_json_object(text, "$.ruleCount").cast("long").alias("rule_count"), F.get_json_object(text, "$.url").alias("url"), F.get_json_object(text, "$.updatedAt").alias("updated"))
+
+
+def _bundle(spark, sf):
+    return artifacts.bundle(_rules(spark, sf), _counted(spark, sf), _lists(spark, sf), UPDATED)
+
+
+@query
+def bundle_manifest(spark, sf):
+    return artifacts.manifest(_bundle(spark, sf)).where("entry <> 'info.json'")
+
+
+@query
+def bundle_size(spark, sf):
+    return artifacts.bundle_size(_bundle(spark, sf))
+
+
+@query
+def publish_artifacts(spark, sf):
+    folder = shared_folder(spark, "artifacts")
+    artifacts.publish(_bundle(spark, sf), folder)
+    return artifacts.manifest(artifacts.published(spark, folder))
+
+
+@query
+def unpublish(spark, sf):
+    folder, left = shared_folder(spark, "artifacts"), shared_folder(spark, "left")
+    artifacts.publish(_bundle(spark, sf), folder)
+    artifacts.unpublish(spark, folder, left, _lists(spark, sf).where("list_id = 'list_0'"))
+    return artifacts.manifest(artifacts.published(spark, left))
+
+
+@query
+def rules_incremental_add(spark, sf):
+    return increment.added(*_sides(spark, sf))
+
+
+@query
+def rules_diff(spark, sf):
+    return increment.difference(*_sides(spark, sf))
+
+
+@query
+def build_strategy(spark, sf):
+    pages = X.read(spark, sf, "pages").select((F.col("page_id") % 40).alias("group"), F.col("page_id").alias("id"))
+    old = pages.where("id % 9 <> 0").withColumn("modified", F.col("id"))
+    kept = pages.where("not (group % 4 = 2 and id % 9 = 2) and not (group % 4 = 0 and id % 9 = 0)")
+    return increment.strategy(old, kept.withColumn("modified", F.when(F.expr("group % 4 = 3 and id % 9 = 1"), F.col("id") + 1).otherwise(F.col("id"))))
