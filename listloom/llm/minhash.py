@@ -8,8 +8,8 @@ den * intersection >= num * union.
 
 Documents with equal sets are one class, stood for by its smallest doc_id, so copies cost nothing. Within a band's
 group every member is first compared with the group's smallest member; then only members that are still in different
-components are compared, in tiles of bounded size, and only those pairs whose sketches agree enough to allow the link
-are checked on the full sets. No pair that could join two components is left out, so the components are those of all
+components are compared, in tiles of bounded size, and only those pairs whose sketches and shortened sets allow the
+link are checked on the full sets. No pair that could join two components is left out, so the components are those of all
 links found by any band. A link at the threshold is missed by all bands with a probability below 1e-6.
 
 Null and empty texts and texts without words have the empty set and link with nothing. Rows that repeat a doc_id are
@@ -30,9 +30,9 @@ from .frames import cut, table
 from .graph import components
 
 BANDS, ROWS = 20, 4
-#: Members of a band's group that are compared in one tile.
+#: Members of a band's group in one tile, on average.
 TILE = 512
-#: Least share of equal sketch coordinates, below the threshold by five standard deviations of an 80-coordinate sketch.
+#: How far below the threshold the share of equal sketch coordinates may be: five standard deviations of 80 coordinates.
 SLACK = 0.2
 
 
@@ -70,7 +70,7 @@ SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands binary, coords b
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set size, a 128-bit hash of the set, the band keys and 16 bits of each coordinate."""
+    """doc_id, set size, a 128-bit hash of the set, the band keys and 8 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     for b in range(BANDS):
                         for r in range(ROWS):
                             keys[:, b] = K.mix(keys[:, b] ^ s[b * ROWS + r])
-                    small = np.ascontiguousarray((s.T >> np.uint64(48)).astype(np.uint16))
+                    small = np.ascontiguousarray((s.T >> np.uint64(56)).astype(np.uint8))
                     for k, doc in enumerate(have):
                         bands[doc], coords[doc] = keys[k].tobytes(), small[k].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(count, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(bands, pa.binary()), pa.array(coords, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bands", "coords"])
@@ -143,37 +143,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return left.join(sets.withColumnsRenamed({"id": "b", "items": "y"}), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs in one band's group that are in different components and whose sketches agree in a share of `least` at least.
+def _shares(sets: DataFrame) -> DataFrame:
+    """(id, brief): 16 bits of each shingle hash, sorted."""
 
-    members: key, i, j, tile, rep, component, bands, coords; a group (key, i, j) holds tiles i and j.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            brief = [np.sort((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(20)).astype(np.uint16)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(brief, pa.binary())], ["id", "brief"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, brief binary")
+
+
+def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one band's group that are in different components and may be linked.
+
+    members: key, i, j, small, other, rep, component, bands, coords, brief. In a group (key, i, j) every row with `small`
+    is compared with every row without; `other` marks rows that stand on the small side too. A pair may be linked if
+    its sketches agree enough and the common 16-bit hashes, of which there are at least as many as common shingles,
+    reach the threshold.
     """
+    least = num / den - SLACK
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        k, i, j = (x.as_py() for x in key)
-        tile = rows.column("tile").to_numpy()
+        small = rows.column("small").to_numpy(zero_copy_only=False)
+        other = rows.column("other").to_numpy(zero_copy_only=False)
         rep, comp = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
         bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(len(rep), BANDS)
-        coords = np.frombuffer(b"".join(rows.column("coords").to_pylist()), np.uint16).reshape(len(rep), BANDS * ROWS)
-        mine = int(np.flatnonzero((bands[0] ^ K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64) == k)[0])
-        one, two = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        out_a, out_b = [], []
-        for x in one:
-            them = two[(comp[two] != comp[x]) & ((rep[two] > rep[x]) | (i != j))]
-            if not len(them):
-                continue
+        coords = np.frombuffer(b"".join(rows.column("coords").to_pylist()), np.uint8).reshape(len(rep), BANDS * ROWS)
+        brief = [np.frombuffer(x, np.uint16) for x in rows.column("brief").to_pylist()]
+        mine = int(np.flatnonzero((bands[0] ^ K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64) == key[0].as_py())[0])
+        all_, out = np.flatnonzero(~small), []
+        for x in np.flatnonzero(small):
+            them = all_[(comp[all_] != comp[x]) & (~other[all_] | (rep[all_] > rep[x]))]
             them = them[(coords[them] == coords[x]).mean(axis=1) >= least]
             # A pair is given by the first of its shared bands alone.
-            them = them[(bands[them] == bands[x]).argmax(axis=1) == mine]
-            out_a.append(np.full(len(them), rep[x]))
-            out_b.append(rep[them])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            for y in them[(bands[them] == bands[x]).argmax(axis=1) == mine]:
+                a, b = brief[x], brief[y]
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if den * both >= num * (len(a) + len(b) - both):
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _sides(labelled: DataFrame, details: DataFrame) -> DataFrame:
+    """The members of every band's group with more than one component, dealt into tiles as _open_pairs takes them.
+
+    A pair in different components has one member outside the group's largest component at least: those are the small
+    side. Both sides are dealt into tiles of TILE members, and each tile of one side meets each of the other.
+    """
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("big"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    apart = groups.where("most < all and all > 2").select("key", "big", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("ts"), F.ceil(F.col("all") / TILE).cast("int").alias("ta"))
+    rows = labelled.select("key", "rep", "component").join(apart, "key").join(details, "rep").withColumn("other", F.col("component") != F.col("big"))
+    tile = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("other", "rep", "component", "bands", "coords", "brief")
+    one = rows.where("other").select("key", tile("ts").alias("i"), every("ta").alias("j"), F.lit(True).alias("small"), *kept)
+    two = rows.select("key", every("ts").alias("i"), tile("ta").alias("j"), F.lit(False).alias("small"), *kept)
+    return one.unionByName(two)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,14 +219,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = cut(_confirmed(pairs, sets, num, den))
     found = cut(components(links))
     # What is still apart in some band's group.
-    labelled = grouped.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "leader", "n", F.coalesce("component", "rep").alias("component"))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high and size > 2").select("key", "size")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    members = labelled.join(apart, "key").join(classes.select("rep", "bands", "coords"), "rep")
-    members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = members.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "component", "bands", "coords")
-    more = _confirmed(_open_pairs(members, num / den - SLACK), sets, num, den)
+    labelled = grouped.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    details = classes.select("rep", "bands", "coords").join(_shares(sets).withColumnRenamed("id", "rep"), "rep")
+    more = _confirmed(_open_pairs(_sides(labelled, details), num, den), sets, num, den)
     found = cut(components(links.unionAll(more)))
     by_class = classes.select("s1", "s2", F.col("n_shingles").alias("n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     joined = all_.join(by_class, (all_["s1"] == by_class["s1"]) & (all_["s2"] == by_class["s2"]) & (all_["n_shingles"] == by_class["n"]), "left")
