@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, table
@@ -102,12 +102,17 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """Usable vectors with their label, one row for each distinct one: key, rep, n, v."""
+def _usable() -> Column:
+    """Whether a row has an id, a label and a finite vector that is not zero."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    good = vectors.where(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
-    return good.select("vec_id", F.concat_ws(":", F.col("label").cast("string"), F.size(e).cast("string")).alias("key"), e.cast("array<float>").alias("v"))
+    return F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, key (label and length), v of the usable rows."""
+    key = F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))
+    return vectors.where(_usable()).select("vec_id", key.alias("key"), F.col("embedding").cast("array<float>").alias("v"))
 
 
 def fit(classes: DataFrame, dim: int, total: int, threshold: float, recall: float = RECALL) -> MultiIndex:
@@ -258,7 +263,7 @@ def links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links and component_id of every row of vectors (vec_id, embedding, label)."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    good = _classes(vectors)
+    good = _keyed(vectors)
     classes = cut(good.groupBy("key", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     total, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not total:
@@ -268,10 +273,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     classes = classes.select("key", "v", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    # Each usable vector gets its class; the key of the others is null and meets none.
     own = good.join(classes, ["key", "v"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.join(good.select("vec_id").distinct(), "vec_id", "left_anti")
-    return own.unionAll(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return own.unionAll(vectors.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

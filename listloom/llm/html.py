@@ -32,7 +32,7 @@ _WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOT_TEXT = frozenset("nav header footer aside form button select menu dialog head figure-ad".split())
+_NOT_TEXT = frozenset("nav header footer aside form button select menu dialog head".split())
 _MAIN = frozenset("article main".split())
 #: Words of class, id and role attributes of parts that aren't the article.
 _ASIDE_WORDS = frozenset(
