@@ -3,7 +3,7 @@
 Long texts are cut where a space or line end follows a visible character: no match of the pre-tokenizer pattern
 crosses such a place and its look-ahead never looks back, so the ids of the parts, joined, are the ids of the text.
 A stretch without such a place stays whole. Null texts count as empty and give no ids. Rows keep their own ids, so
-ties and repeated rows need no rule; an empty table gives an empty table.
+ties and repeated rows need no rule; an empty table gives an empty table. Other columns pass through or play no part.
 """
 
 from __future__ import annotations
@@ -13,15 +13,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from .frames import table
+from .frames import small_batches, table
 
 #: Characters of a text that are encoded in one call, at least.
 PART = 1 << 16
+#: Rows that are encoded or decoded at once: ids take several times a text's memory while they are Python numbers.
+ROWS = 256
 #: A place between a visible character and a space or line end after it.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 _LOADED: dict[tuple[str, str], object] = {}
@@ -62,30 +65,52 @@ def _default(ranks: str | None, pattern: str | None) -> tuple[str, str]:
     return ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with a column `ids` of token ids; a column of that name in docs is replaced."""
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    """A list array from arrays of ids."""
+    ends = np.cumsum([0, *(len(v) for v in values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+
+
+def _with(schema: StructType, name: str, kind: DataType) -> StructType:
+    return StructType([f for f in schema.fields if f.name != name] + [StructField(name, kind)])
+
+
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", data: str | None = None, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs with a column `ids` of token ids at the end, and if `data` names one a column of the bytes that they decode to.
+
+    Columns of these names in docs are replaced.
+    """
     ranks, pattern = _default(ranks, pattern)
+    at, rest = docs.columns.index(text), [c for c in docs.columns if c not in (ids, data)]
 
-    @F.pandas_udf("array<int>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
-        for batch in texts:
-            yield batch.fillna("").map(lambda t: encode_text(t, enc))
+        for batch in small_batches(batches, ROWS):
+            found, back = [], []
+            for t in batch.column(at):
+                own = encode_text(t.as_py() or "", enc)
+                found.append(np.array(own, np.int32))
+                if data is not None:
+                    back.append(enc.decode_bytes(own))
+            batch = batch.select(rest).append_column(ids, _lists(found))
+            yield batch if data is None else batch.append_column(data, pa.array(back, pa.binary()))
 
-    return docs.withColumn(ids, run(F.col(text)))
+    schema = _with(docs.select(rest).schema, ids, ArrayType(IntegerType()))
+    return docs.mapInArrow(run, schema if data is None else _with(schema, data, BinaryType()))
 
 
 def decode(docs: DataFrame, ids: str = "ids", data: str = "decoded", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with a binary column of the raw bytes that the ids stand for; null ids give null."""
+    """docs with a binary column `data` at the end, the raw bytes that the ids stand for; null ids give null."""
     ranks, pattern = _default(ranks, pattern)
+    at, rest = docs.columns.index(ids), [c for c in docs.columns if c != data]
 
-    @F.pandas_udf("binary")
-    def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
-        for batch in rows:
-            yield batch.map(lambda x: None if x is None else enc.decode_bytes(list(x)))
+        for batch in small_batches(batches, ROWS):
+            found = [enc.decode_bytes(x.values.to_pylist()) if x.is_valid else None for x in batch.column(at)]
+            yield batch.select(rest).append_column(data, pa.array(found, pa.binary()))
 
-    return docs.withColumn(data, run(F.col(ids)))
+    return docs.mapInArrow(run, _with(docs.schema, data, BinaryType()))
 
 
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -113,4 +138,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their token ids, and the text that the ids decode to."""
-    return decode(encode(docs, ids="ids"), data="decoded")
+    return encode(docs, ids="ids", data="decoded")

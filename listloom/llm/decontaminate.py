@@ -14,7 +14,8 @@ driver and sent to the tasks in blocks of at most BLOCK_WORDS words, and documen
 never shuffled, so no key, source or group of copies can load one task.
 
 Null and empty texts, and items without a word, match nothing. Items with equal words are all reported. Repeated
-document rows give repeated result rows. Very long texts are read whole. Empty tables give an empty table.
+document rows give repeated result rows. Very long texts are read whole. Other columns play no part (a stage
+passes them through). Empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import table
+from .frames import small_batches, table
 
 #: Word edits allowed for each word of an item: similarity 0.8 or more.
 EDITS = 0.2
@@ -37,6 +38,8 @@ RECALL = 0.99
 SAMPLED = 3
 MOST_REPEATS = 64
 BLOCK_WORDS = 1_000_000
+#: Bytes of text that a task looks at together; a longer text is looked at alone.
+BLOCK_BYTES = 1 << 20
 _MARKS = np.ones(256, bool)
 _MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -223,11 +226,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 ids = batch.column(0).to_pylist()
                 data, at = K.utf8(batch.column(1))
                 rows = []
-                for i, j in K.blocks(at, 1 << 22):
+                for i, j in K.blocks(at, BLOCK_BYTES):
                     rows += [(ids[i + doc], *rest) for doc, *rest in held.value.find(data[at[i] : at[j]], at[i : j + 1] - at[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
@@ -246,10 +249,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 data, where = K.utf8(batch.column(at))
                 good = np.ones(batch.num_rows, bool)
-                for i, j in K.blocks(where, 1 << 22):
+                for i, j in K.blocks(where, BLOCK_BYTES):
                     for doc, *_ in held.value.find(data[where[i] : where[j]], where[i : j + 1] - where[i]):
                         good[i + doc] = False
                 yield batch.filter(pa.array(good))

@@ -6,6 +6,7 @@ frequent n-grams of a language, ties by n-gram code. A text goes to the language
 ties to the first name; score is 1 - distance / largest possible distance. Null texts and texts without a letter give
 `und` and 0.0, and so does everything if no document can be learned from. Rows with a null language, or outside the
 learning folds, are predicted but never learned. Repeated rows count each time. Very long texts are read whole.
+Other columns play no part (a stage passes them through). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import fold, table
+from .frames import fold, small_batches, table
 
 #: n-grams in a profile.
 PROFILE = 300
@@ -144,7 +145,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     label, at = Labeler(profiles(docs, fold(F.col("doc_id"), 4) != 2)), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array([lang != "und" for lang in label(batch.column(at))[0]], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -13,7 +13,8 @@ link are checked on the full sets. No pair that could join two components is lef
 links found by any band. A link at the threshold is missed by all bands with a probability below 1e-6.
 
 Null and empty texts and texts without words have the empty set and link with nothing. Rows that repeat a doc_id are
-one document. Very long texts are read whole. An empty table gives an empty table.
+one document. Very long texts are read whole. Other columns play no part (a stage passes them through). An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import cut, table
+from .frames import cut, small_batches, table
 from .graph import components
 
 BANDS, ROWS = 20, 4
@@ -73,7 +74,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, set size, a 128-bit hash of the set, the band keys and 8 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             data, at = K.utf8(batch.column(1))
             for i, j in K.blocks(at, 1 << 20):
                 found, who = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], words)
@@ -116,7 +117,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, sorted shingle hashes) of the documents named in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             data, at = K.utf8(batch.column(1))
             for i, j in K.blocks(at, 1 << 20):
                 found, who = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], words)
@@ -131,7 +132,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

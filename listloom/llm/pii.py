@@ -10,7 +10,8 @@ classifier gives 0.5 or more, they overlap no span that is there already, and st
 
 Only counts by (kind, votes, shape) come to the driver: at most 4 x 27 x 24 rows, whatever the corpus. Null texts count
 as empty; texts without data give zero counts and the hash of an empty string. Equal rows give equal rows. Very long
-texts are read whole in linear time. An empty table gives an empty table.
+texts are read whole in linear time. Other columns play no part (a stage passes them through). An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import cut, table
+from .frames import cut, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -253,7 +254,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [None if t is None else mask(t, model) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at).with_type(pa.string()), pa.array(texts, pa.string()))
             if sizes is not None:
