@@ -88,25 +88,39 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
+class Sums:
+    """Running sums over a sequence, from which the hash of any span is read."""
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        with np.errstate(over="ignore"):
+            up, self.down = powers(len(values) + 1, which)
+            self.sums = np.zeros(len(values) + 1, U64)
+            np.cumsum(values * up[:-1], out=self.sums[1:])
+
+    def windows(self, length: int) -> np.ndarray:
+        """A 64-bit hash of every run of `length` values."""
+        n = len(self.sums) - length
+        with np.errstate(over="ignore"):
+            return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span, its length included."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
+
+
+def byte_sums(data: np.ndarray, which: int = 0) -> Sums:
+    return Sums(_VALUES[which][data], which)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    with np.errstate(over="ignore"):
-        up, down = powers(len(data) + 1, which)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_VALUES[which][data] * up[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return byte_sums(data, which).spans(starts, ends)
 
 
 def window_hashes(values: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of every run of `length` consecutive 64-bit values."""
-    n = len(values) - length + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    with np.errstate(over="ignore"):
-        up, down = powers(len(values), which)
-        sums = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up, out=sums[1:])
-        return mix((sums[length:] - sums[:n]) * down[:n])
+    return Sums(values, which).windows(length) if len(values) >= length else np.zeros(0, U64)
 
 
 def whole_windows(owner: np.ndarray, length: int) -> np.ndarray:

@@ -19,7 +19,7 @@ Built over every byte this costs about 8 microseconds a byte, so it is built ove
 Between documents only packed hashes move; each chunk sends a value once however often it has it. Texts are UTF-8 bytes;
 matches never cross documents. Null and empty texts, and those shorter than LENGTH, lose nothing. Repeats within a
 document count, overlapping or not. Repeated rows are documents of their own. Very long texts are read whole, in one
-chunk. An empty table gives an empty table.
+chunk. Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LENGTH = 200
 GRAM = 64
 #: Symbols of a context: what is before the anchor, and pieces of GRAM bytes from the anchor on.
 PIECES = 5
-_CONTEXT = np.dtype((np.void, 8 * PIECES))
+_CONTEXT = np.dtype([("s", np.uint64, PIECES)])
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -126,8 +126,8 @@ class _Chunk:
         self.gram_hash = np.zeros(0, np.uint64)
         if n < length:
             return
-        values = K._VALUES[0][self.data]
-        hashes = K.window_hashes(values, gram)
+        self.sums = K.byte_sums(self.data)
+        hashes = self.sums.windows(gram)
         bits = np.uint64(n.bit_length())
         least = sliding_min(((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
         ends = np.repeat(self.at[1:], np.diff(self.at))
@@ -148,12 +148,13 @@ class _Chunk:
     def symbols(self) -> np.ndarray:
         """The symbols of every context (rows)."""
         out = np.empty((len(self.first), PIECES), np.uint64)
+        if not len(self.first):
+            return out
         stop = self.last + self.length
-        out[:, 0] = K.span_hashes(self.data, self.first, self.anchor)
-        size = -(-self.length // (PIECES - 1))
-        size = max(GRAM, size)
+        out[:, 0] = self.sums.spans(self.first, self.anchor)
+        size = max(GRAM, -(-self.length // (PIECES - 1)))
         for k in range(PIECES - 1):
-            out[:, k + 1] = K.span_hashes(self.data, np.minimum(self.anchor + k * size, stop), stop if k == PIECES - 2 else np.minimum(self.anchor + (k + 1) * size, stop), 1)
+            out[:, k + 1] = self.sums.spans(np.minimum(self.anchor + k * size, stop), stop if k == PIECES - 2 else np.minimum(self.anchor + (k + 1) * size, stop))
         return out
 
     def strings(self, runs: np.ndarray) -> np.ndarray:
@@ -161,8 +162,8 @@ class _Chunk:
         first, n = self.first[runs], self.last[runs] - self.first[runs] + 1
         return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
 
-    def string_hashes(self) -> np.ndarray:
-        return K.window_hashes(K._VALUES[0][self.data], self.length)
+    def string_hashes(self, starts: np.ndarray) -> np.ndarray:
+        return self.sums.spans(starts, starts + self.length)
 
 
 #: Answers about contexts: 62 bits of the hash, and 0 once in the corpus, 1 repeats, 2 repeats and this chunk speaks for it.
@@ -187,7 +188,7 @@ def _sorted_contexts(sent: DataFrame) -> DataFrame:
 
     def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         values, row, chunks = X.joined(rows, _CONTEXT)
-        symbols = np.frombuffer(values.tobytes(), np.uint64).reshape(-1, PIECES)
+        symbols = np.ascontiguousarray(values["s"]).reshape(-1, PIECES)
         _, ranks = np.unique(symbols, return_inverse=True)
         text = np.zeros((len(symbols), PIECES + 1), np.int64)  # a 0 ends each context
         text[:, :PIECES] = ranks.reshape(symbols.shape) + 1
@@ -208,7 +209,7 @@ def _sorted_contexts(sent: DataFrame) -> DataFrame:
 
 
 def _numbers(rows: pa.Table, notes: bool) -> np.ndarray:
-    parts = [np.frombuffer(h, np.uint64) for b, h in zip(rows.column("bucket").to_pylist(), rows.column("hashes").to_pylist(), strict=True) if (b < 0) == notes]
+    parts = [X.unpack(h, np.uint64) for b, h in zip(rows.column("bucket").to_pylist(), rows.column("hashes").to_pylist(), strict=True) if (b < 0) == notes]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -231,36 +232,36 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _, first = np.unique(h, return_index=True)
         bucket = h[first] % K.U64(n)
         order = np.argsort(bucket, kind="stable")
-        values = np.frombuffer(np.ascontiguousarray(symbols[first][order]).tobytes(), _CONTEXT)
+        values = np.ascontiguousarray(symbols[first][order]).view(_CONTEXT).ravel()
         return X.packed(key[0].as_py(), bucket[order], values)
 
-    def judged(c: _Chunk, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hash of every run's context, which are candidates, and the code of each."""
+    def looked_up(c: _Chunk, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of every run's context, which have an answer, and the code in it."""
         h = context_hashes(c.symbols())
-        spot = np.minimum(np.searchsorted(answered, h), max(0, len(answered) - 1))
-        known = answered[spot] if len(answered) else np.zeros(len(h), np.uint64)
-        asked = (known & ~_CODE) == h if len(answered) else np.zeros(len(h), bool)
-        code = np.where(asked, known & _CODE, 0)
-        return h, asked, np.where(asked & (code == 0) & twice(h), 2, code) if len(h) else code
+        if not len(answered):
+            return h, np.zeros(len(h), bool), np.zeros(len(h), np.uint64)
+        known = answered[np.minimum(np.searchsorted(answered, h), len(answered) - 1)]
+        return h, (known & ~_CODE) == h, known & _CODE
 
     def strings(key, rows, answered):
         c, chunk = _Chunk(rows, length), key[0].as_py()
-        h, asked, code = judged(c, _numbers(answered, False))
-        some = np.unique(c.string_hashes()[c.strings(np.flatnonzero(asked & (code != 1)))]) if asked.any() else np.zeros(0, np.uint64)
+        h, asked, code = looked_up(c, _numbers(answered, False))
+        code = np.where(asked & (code == 0) & twice(h), np.uint64(2), code)
+        some = np.unique(c.string_hashes(c.strings(np.flatnonzero(asked & (code != 1))))) if asked.any() else np.zeros(0, np.uint64)
         bucket = some % K.U64(n)
         order = np.argsort(bucket, kind="stable")
-        note = pa.table({"chunk": pa.array([chunk], pa.int32()), "bucket": pa.array([-1 - chunk], pa.int32()), "hashes": pa.array([np.unique(h[asked & (code > 0)]).tobytes()], pa.binary())})
-        return pa.concat_tables([X.packed(chunk, bucket[order], some[order]), note])
+        note = X.pack(np.unique(h[asked] | code[asked]))
+        mine = pa.table({"chunk": pa.array([chunk], pa.int32()), "bucket": pa.array([-1 - chunk], pa.int32()), "hashes": pa.array([note], pa.binary())})
+        return pa.concat_tables([X.packed(chunk, bucket[order], some[order]), mine])
 
     def remove(key, rows, answered):
         c = _Chunk(rows, length)
         gone = np.zeros(len(c.data), bool)
         if len(c.first):
-            whole = X.among(context_hashes(c.symbols()), _numbers(answered, True))
-            hashes = c.string_hashes()
-            starts = [c.strings(np.flatnonzero(whole)), c.starts[X.among(hashes[c.starts], _numbers(answered, False))]]
+            _, asked, code = looked_up(c, _numbers(answered, True))
+            single = c.strings(np.flatnonzero(asked & (code == 0)))
             near = c.strings(np.flatnonzero(twice(c.gram_hash)))  # equal strings of this chunk have equal anchors
-            starts.append(near[twice(hashes[near])])
+            starts = [c.strings(np.flatnonzero(asked & (code > 0))), single[X.among(c.string_hashes(single), _numbers(answered, False))], near[twice(c.string_hashes(near))]]
             gone = K.covered(np.unique(np.concatenate(starts)), length, len(c.data))
         kept, firsts, lasts, removed = [], [], [], []
         for a, b in zip(c.at[:-1], c.at[1:], strict=True):
