@@ -19,8 +19,12 @@ from . import kernels as K
 
 #: Bytes of text in a chunk, on average.
 CHUNK = 2_000_000
-#: Lower bits of a hash that are sent while levels only thin out candidates.
-LOW = np.uint64(0xFFFFFFFF)
+#: Bits of a hash that are sent beside its bucket while levels only thin out candidates: a few in a hundred of the hashes
+#: that occur once are let through, whatever the size of the corpus, as a bucket holds some 300,000 hashes.
+LOW_BITS = 24
+LOW = np.uint64((1 << LOW_BITS) - 1)
+#: The kind of a packed array of such bits.
+LOW_KIND = np.dtype(np.uint32)
 SENT = "chunk int, bucket int, hashes binary"
 
 
@@ -32,6 +36,22 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     return docs.select(F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("chunk"), id_.alias("doc_id"), F.col(text).alias("text")), n
 
 
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of an array by planes (all first bytes, all second bytes, ...): planes of zeros or of sorted values shrink
+    under the shuffle's own compression. Of LOW_KIND only the planes of the low bits are kept."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return planes[: LOW_BITS // 8].tobytes() if values.dtype == LOW_KIND else planes.tobytes()
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = LOW_BITS // 8 if kind == LOW_KIND else kind.itemsize
+    stored = np.frombuffer(data, np.uint8).reshape(planes, -1)
+    full = np.zeros((stored.shape[1], kind.itemsize), np.uint8)
+    full[:, :planes] = stored.T
+    return full.view(kind).ravel()
+
+
 def packed(chunk: int, bucket: np.ndarray, values: np.ndarray) -> pa.Table:
     """Rows (chunk, bucket, packed values) from values in order of their buckets."""
     names, first = np.unique(bucket, return_index=True)
@@ -39,25 +59,25 @@ def packed(chunk: int, bucket: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({
         "chunk": pa.array(np.full(len(names), chunk, np.int32)),
         "bucket": pa.array(names.astype(np.int32)),
-        "hashes": pa.array([values[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+        "hashes": pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
     })
 
 
 def low_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket above the 32 bits that are sent, in one number."""
+    """Bucket above the bits that are sent, in one number."""
     b = K.U64(buckets)
     return ((hashes % b) << K.U64(32)) | ((hashes // b) & LOW)
 
 
 def send_low(chunk: int, keys: np.ndarray) -> pa.Table:
-    """The distinct keys of a chunk, 4 bytes each."""
+    """The distinct keys of a chunk."""
     keys = np.unique(keys)
-    return packed(chunk, keys >> K.U64(32), (keys & LOW).astype(np.uint32))
+    return packed(chunk, keys >> K.U64(32), (keys & LOW).astype(LOW_KIND))
 
 
 def received_low(answers: pa.Table) -> np.ndarray:
     """The keys in the answers to a chunk, sorted."""
-    parts = [(np.uint64(b) << K.U64(32)) | np.frombuffer(h, np.uint32).astype(np.uint64) for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hashes").to_pylist(), strict=True)]
+    parts = [(np.uint64(b) << K.U64(32)) | unpack(h, LOW_KIND).astype(np.uint64) for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hashes").to_pylist(), strict=True)]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -70,11 +90,11 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def joined(rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """All packed values of a bucket, the row number of each, and the chunk of each row."""
-    parts = [np.frombuffer(h, kind) for h in rows.column("hashes").to_pylist()]
+    parts = [unpack(h, kind) for h in rows.column("hashes").to_pylist()]
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), rows.column("chunk").to_pylist()
 
 
-def shared(sent: DataFrame, kind=np.uint32) -> DataFrame:
+def shared(sent: DataFrame, kind=LOW_KIND) -> DataFrame:
     """Answers to each chunk: those of its hashes that another chunk has sent to the same bucket.
 
     Rows of a negative bucket are a chunk's notes to itself; they come back as they are.
@@ -103,7 +123,7 @@ def answers(bucket: int, chunks: list[int], row: np.ndarray, values: np.ndarray)
     return pa.table({
         "chunk": pa.array([chunks[r] for r in names], pa.int32()),
         "bucket": pa.array(np.full(len(names), bucket, np.int32)),
-        "hashes": pa.array([values[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+        "hashes": pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
     })
 
 

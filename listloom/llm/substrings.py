@@ -2,15 +2,15 @@
 
 Windows of BASE words that occur in two or more documents are the candidates of the first level. A window of twice the
 length is looked at only if both its halves repeated, and so on; the last level joins two overlapping windows into one
-of exactly `length` words. Windows below the last level are compared by 32 bits within a bucket, which can only let
+of exactly `length` words. Windows below the last level are compared by 24 bits within a bucket, which can only let
 too many through; the last level compares 96 bits. At that level each window gets the smallest doc_id that has it, and
 every word under a window that also starts in a document with a smaller doc_id is removed. Windows are judged on the
 input, not on what is left.
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, unchanged. Null and empty texts have no words and keep an empty
 text; documents of fewer than `length` words lose nothing. Rows that repeat a doc_id count as one document and each
-gives its own row; a null doc_id counts as larger than all others. Very long texts are read whole, in one chunk. An
-empty table gives an empty table.
+gives its own row; a null doc_id counts as larger than all others. Very long texts are read whole, in one chunk.
+Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
     def remove(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table) -> pa.Table:
         c = _Chunk(rows)
         a, whole = c.windows(length), c.whole(length)
-        parts = [np.frombuffer(h, np.uint64) for h in answered.column("hashes").to_pylist()]
+        parts = [X.unpack(h, np.uint64) for h in answered.column("hashes").to_pylist()]
         older = X.among(a, np.sort(np.concatenate(parts))) if parts else np.zeros(len(a), bool)
         order = np.lexsort((c.doc[: len(a)], a))
         new = np.ones(len(a), bool)
