@@ -12,7 +12,7 @@ Vectors link only within equal, non-null labels (and equal lengths). Null, empty
 or non-finite components link with nothing. Equal vectors of one label are one class, stood for by its smallest id, so
 copies cost nothing and every link to a class counts as many links as it has members. Cells with many members, or many
 visitors, are split into tiles, and a tile returns counts and a spanning forest of its links, never all pairs. Rows
-that repeat an id count as one vector each. An empty table gives an empty table.
+that repeat an id count as one vector each. Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations

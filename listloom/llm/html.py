@@ -6,7 +6,7 @@ over windows of WINDOW lines; text starts where the sum surges (above the thresh
 it) and stops where it dives to nothing, and all lines between a surge and its dive are kept, in page order. Inside
 an `article` or `main` element the threshold is 0, as the page itself says where its text is; lines outside it then
 count nothing. Null pages and pages without text give an empty string. Repeated pages give repeated rows. Very long
-pages are read whole.
+pages are read whole. Other columns pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations

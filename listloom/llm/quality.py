@@ -10,7 +10,7 @@ temperature fitted on every fifth of them.
 Null and empty texts pool to zeros and are scored like any other. Documents without a label are scored, never learned;
 of a document with several labels the largest counts. Without labelled documents, or with one class alone, every
 score is that class's share (0.5 if there is none). Labels, lang, source and doc_id are never inputs of a score. Very
-long texts are read whole. An empty table gives an empty table.
+long texts are read whole. Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
