@@ -1,7 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from listloom.llm import decontaminate
+from listloom.llm import kernels as K
 
 
 def distance(a, b):
@@ -46,6 +49,40 @@ def test_edited_passages(spark, documents, sf_dir, write_tables, odd):
     assert sum(found[k] == want[k] for k in found) >= 0.98 * len(found)
 
 
+def found_in(docs, block):
+    data, at = K.utf8(pa.array([t for _, t in docs], pa.string()))
+    return {(docs[i][0], j): rest for i, j, *rest in map(list, block.find(data, at))}
+
+
+def test_recall_at_the_edit_limit(spark, sf_dir):
+    rng = random.Random(5)
+    items = [(r["item_id"], " ".join(r["text"].split())) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    block = decontaminate.Block(items)
+    direct = decontaminate.Block(items, recall=1.1)  # no number of repetitions is enough: windows are compared one by one
+    assert set(direct.repeats.values()) == {0}
+    for indels in (False, True):
+        docs = []
+        for i in range(400):
+            w = items[i % len(items)][1].split()
+            most = int(0.2 * len(w))
+            if indels:
+                for _ in range(most // 2):
+                    del w[rng.randrange(len(w))]
+                    w.insert(rng.randrange(len(w) + 1), f"w{rng.randrange(10**6)}")
+            else:
+                for at in rng.sample(range(len(w)), most):
+                    w[at] = f"w{rng.randrange(10**6)}"
+            side = [f"z{rng.randrange(10**6)}" for _ in range(10)]
+            docs.append((i, " ".join(side[:5] + w + side[5:])))
+        want = {}
+        for i, t in docs:
+            want |= brute([(i, t)], [items[i % len(items)]])
+        found = found_in(docs, block)
+        assert len(want) > 350 and sum(k in found for k in want) >= 0.98 * len(want)
+        whole = found_in(docs, direct)
+        assert {k: tuple(whole.get(k, ())) for k in want} == want
+
+
 def test_exact_passages_and_clean_documents(spark, sf_dir, documents):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     inside = {(i, j) for i, t in zip(documents.doc_id.tolist(), documents.text, strict=True) for j, x in items if x in t}
