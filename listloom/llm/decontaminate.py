@@ -1,7 +1,10 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
 Words are runs of ASCII letters and digits or bytes of longer characters, A-Z lower-cased. An item of n words is found
-in a text if some window of n words is within `floor(EDITS * n)` word edits of it. The CGK walk reads a word string
+in a text if some window of n words, or of up to `floor(EDITS * n)` words less at the text's start or end, is within
+`floor(EDITS * n)` word edits of it; so a text somewhat shorter than the item can match too. Of equally near windows the
+first counts, then the longest. The shorter windows differ from a cut item by more steps of the walk than the limit
+stands for, so those that pass the counts below are compared with each item of that length. The CGK walk reads a word string
 with a pointer that a random bit of (step, word) moves or holds, so that few edits give few differing steps; each of
 the repetitions has its own walk and keys a window by SAMPLED of its steps, and windows that share a key with an item
 are checked by the exact banded edit distance. Repetitions follow from the target recall, for each length of items:
@@ -76,8 +79,9 @@ def walk_keys(strings: np.ndarray, n: int, seeds: list[int], sampled: int = SAMP
     return key
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distances of the rows of a and b (rows x n) if at most `most`; larger ones come out larger than that."""
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int, sizes: np.ndarray | int) -> np.ndarray:
+    """Word edit distances of the rows of a and the first sizes (n - most to n) words of the rows of b (rows x n) if at
+    most `most`; larger ones come out larger than that."""
     n, band = a.shape[1], np.arange(2 * most + 1)  # place p of row i stands for column i + p - most
     far = 4 * n + len(band)
     row = np.tile(np.where(band >= most, band - most, far), (len(a), 1))
@@ -88,7 +92,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         new[:, (column < 0) | (column > n)] = far
         new[:, column == 0] = i
         row = np.minimum.accumulate(new - band, axis=1) + band  # insertions
-    return row[:, most]
+    return row[np.arange(len(a)), most + sizes - n]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -144,7 +148,7 @@ class Block:
                 else:
                     some.insert(int(rng.integers(len(some))), fresh(1)[0])
             own[:] = np.concatenate((np.array(some, np.uint64)[:n], fresh(max(0, n - len(some)))))
-        for row in np.flatnonzero(edit_distances(strings, out, most) != most):
+        for row in np.flatnonzero(edit_distances(strings, out, most, n) != most):
             out[row] = strings[row]
             out[row, rng.choice(n, most, replace=False)] = fresh(most)
         return out
@@ -180,10 +184,25 @@ class Block:
             self._keys[n] = keys[order], which[order]
         return self._keys[n]
 
-    def _candidates(self, windows: np.ndarray, n: int) -> set[tuple[int, int]]:
+    def _at_ends(self, n: int, first: np.ndarray, last: np.ndarray, passes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the windows of less than n words at the texts' ends that pass; if a window passes, wider ones do."""
+        least, size = n - int(self.edits * n), last - first
+        texts = np.flatnonzero(size >= least)
+        widest = np.minimum(size[texts], n - 1)
+        heads, tails = texts[passes(first[texts], widest)], texts[passes(last[texts] - widest, widest)]
+        starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in range(least, n):
+            # A text of m words is its own head and tail.
+            for s in (first[heads[size[heads] >= m]], (last - m)[tails[size[tails] > m]]):
+                s = s[passes(s, m)]
+                starts.append(s)
+                sizes.append(np.full(len(s), m))
+        return np.concatenate(starts), np.concatenate(sizes)
+
+    def _candidates(self, windows: np.ndarray, n: int, direct: bool) -> set[tuple[int, int]]:
         """(window, item) that share a key, or enough words where keys miss too many."""
         pairs = set()
-        if not self.repeats[n]:
+        if direct or not self.repeats[n]:
             least = n - int(self.edits * n)
             for k in self.by_length[n]:
                 pairs.update((int(w), k) for w in np.flatnonzero(np.isin(windows, self.items[k][1]).sum(axis=1) >= least))
@@ -198,7 +217,7 @@ class Block:
     def find(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, first word, words, distance): the nearest window of each item found in each text."""
         hashes, owner = word_hashes(data, at)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if not len(hashes) or not self.items:
             return []
         pairs_known = _running(_among(K.window_hashes(hashes, 2), self.pairs))
@@ -209,34 +228,48 @@ class Block:
         first = np.searchsorted(owner, np.arange(len(at)))
         for n in self.by_length:
             most = int(self.edits * n)
-            if len(hashes) < n:
+            if len(hashes) < n - most:
                 continue
+
+            def passes(starts: np.ndarray, size: np.ndarray | int, n=n, most=most) -> np.ndarray:
+                ends = starts + size
+                found = pairs_known[ends - 1] - pairs_known[starts] >= n - 1 - 2 * most
+                found &= changed[ends - 1] - changed[starts] >= self.varied[n] - 2 * most
+                return found & (known[ends] - known[starts] >= n - most)
+
             # The rarest condition is tried everywhere, the others only where it holds.
-            if n > 1:
-                starts = np.flatnonzero(pairs_known[n - 1 :] - pairs_known[: len(pairs_known) - n + 1] >= n - 1 - 2 * most)
-                starts = starts[changed[starts + n - 1] - changed[starts] >= self.varied[n] - 2 * most]
-            else:
-                starts = np.arange(len(hashes))
-            starts = starts[known[starts + n] - known[starts] >= n - most]
+            starts = np.arange(max(0, len(hashes) - n + 1))
+            if n > 1 and len(starts):
+                starts = np.flatnonzero(pairs_known[n - 1 :] - pairs_known[: len(starts)] >= n - 1 - 2 * most)
+            starts = starts[passes(starts, n)]
             starts = starts[owner[starts] == owner[starts + n - 1]]
-            if not len(starts):
-                continue
-            for some in np.array_split(starts, len(starts) // 10_000 + 1):
-                windows = hashes[some[:, None] + np.arange(n)]
+            looks = [(some, np.full(len(some), n)) for some in np.array_split(starts, len(starts) // 10_000 + 1)]
+            if most:
+                short, cut = self._at_ends(n, first[:-1], first[1:], passes)
+                pieces = len(short) // 10_000 + 1
+                looks += zip(np.array_split(short, pieces), np.array_split(cut, pieces), strict=True)
+            for some, sizes in looks:
+                if not len(some):
+                    continue
+                places = np.arange(n)
+                windows = hashes[np.minimum(some[:, None] + places, len(hashes) - 1)]
+                direct = bool(sizes[0] < n)
+                if direct:
+                    windows[places >= sizes[:, None]] = 0
                 alike = _among(windows, self.words_of[n]).sum(axis=1) >= n - most
-                some, windows = some[alike], windows[alike]
+                some, windows, sizes = some[alike], windows[alike], sizes[alike]
                 if not len(some):
                     continue
-                pairs = sorted(self._candidates(windows, n))
+                pairs = sorted(self._candidates(windows, n, direct))
                 for at_pair in range(0, len(pairs), 10_000):
                     w, k = np.array(pairs[at_pair : at_pair + 10_000]).T
-                    distances = edit_distances(np.stack([self.items[x][1] for x in k]), windows[w], most)
+                    distances = edit_distances(np.stack([self.items[x][1] for x in k]), windows[w], most, sizes[w])
                     for x in np.flatnonzero(distances <= most):
-                        doc, item, d = int(owner[some[w[x]]]), int(k[x]), int(distances[x])
-                        spot_ = (d, int(some[w[x]] - first[doc]))
-                        if spot_ < best.get((doc, item), (most + 1, 0)):
+                        doc, item, size = int(owner[some[w[x]]]), int(k[x]), int(sizes[w[x]])
+                        spot_ = (int(distances[x]), int(some[w[x]] - first[doc]), -size)
+                        if spot_ < best.get((doc, item), (most + 1, 0, 0)):
                             best[doc, item] = spot_
-        return [(doc, self.items[k][0], start, len(self.items[k][1]), d) for (doc, k), (d, start) in sorted(best.items())]
+        return [(doc, self.items[k][0], start, -size, d) for (doc, k), (d, start, size) in sorted(best.items())]
 
 
 def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", words: int = BLOCK_WORDS) -> Iterator[Block]:

@@ -83,6 +83,24 @@ def test_recall_at_the_edit_limit(spark, sf_dir):
         assert {k: tuple(whole.get(k, ())) for k in want} == want
 
 
+def test_passages_cut_by_the_ends_of_a_text(spark, sf_dir):
+    items = [(r["item_id"], " ".join(r["text"].split())) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    block, docs, want = decontaminate.Block(items), [], {}
+    for j, text in items:
+        w, side = text.split(), [f"z{j}x{k}" for k in range(60)]
+        n, most = len(w), int(0.2 * len(w))
+        for kind, (words, spot) in enumerate((
+            (w[: n // 2] + w[n // 2 + 1 :], (0, n - 1, 1)),
+            (side + w[:-most], (60, n - most, most)),
+            (w[most:] + side, (0, n - most, most)),
+            (w[: -most - 1], None),
+        )):
+            docs.append((10 * j + kind, " ".join(words)))
+            if spot:
+                want[10 * j + kind, j] = spot
+    assert {k: tuple(v) for k, v in found_in(docs, block).items()} == want
+
+
 def test_exact_passages_and_clean_documents(spark, sf_dir, documents):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     inside = {(i, j) for i, t in zip(documents.doc_id.tolist(), documents.text, strict=True) for j, x in items if x in t}
