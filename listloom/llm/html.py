@@ -1,19 +1,29 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Lines of scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments keep their place but count no text. The text lengths are summed
-over windows of WINDOW lines; text starts where the sum surges (above the threshold, with text in the lines after
-it) and stops where it dives to nothing, and all lines between a surge and its dive are kept, in page order. Inside
-an `article` or `main` element the threshold is 0, as the page itself says where its text is; lines outside it then
-count nothing. Null pages and pages without text give an empty string. Repeated pages give repeated rows. Very long
-pages are read whole. Other columns pass through. An empty table gives an empty table.
+Markup is stripped into lines, one for each block of the page; where a container (div, section, article, main, table
+cell, body) begins or ends, blank lines stand between. A line weighs as many characters as it has, those of links a
+quarter, and half of that if it stands bare in a container and in no paragraph, heading, list item or the like. Lines
+of scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments count nothing; a
+header inside an article is part of it. The weights are summed over windows of WINDOW lines; text surges where the sum
+is above the threshold, the smaller of SURGE and half of the largest sum, and dives where it falls to it or below.
+
+The heaviest stretch between a surge and its dive, with others at least half as heavy, is the text. It is extended by
+what is short at its edges (headline, byline, last paragraph): to all counted lines of the innermost container that
+holds all of these stretches, or of the article or main element around that; if it is the page itself, each stretch is
+extended to its own container, and in the page itself to lines that stand there directly. Kept lines are given in page
+order, with the text of their links.
+
+Null pages and pages without text give an empty string. Repeated pages give repeated rows. Very long pages are read
+whole. Other columns pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,16 +34,19 @@ from .frames import table
 
 #: Lines in a window.
 WINDOW = 3
-#: Characters in a window that begin a text on pages without an article element.
+#: Weight in a window that begins a text on pages that have more than twice of it somewhere.
 SURGE = 120
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
 _WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_PARTS = re.compile(r"[-_0-9]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_TEXT = frozenset("nav header footer aside form button select menu dialog head".split())
 _MAIN = frozenset("article main".split())
+_CONTAINERS = frozenset("article body center div main section td".split())
+_PAGE = frozenset(("", "html", "body"))
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption summary address".split())
 #: Words of class, id and role attributes of parts that aren't the article.
 _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -41,77 +54,154 @@ _ASIDE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments replies disqus "
     "form search pagination pager toolbar contentinfo complementary".split()
 )
+#: Words that may stand beside them in a name (cookie-bar, site-header); beside others (share-price) they tell nothing.
+_BESIDE_WORDS = frozenset(
+    "area bar block bottom box btn button col column container content fixed frame global group holder inner item items label left link links list main module outer page panel "
+    "primary right row secondary section site slot sticky thread top unit wrap wrapper zone".split()
+)
+
 
+class Line(NamedTuple):
+    text: str
+    counts: bool
+    weight: float
+    container: int
 
-def _aside(name: str, attributes: str) -> bool:
+
+def _aside(name: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element is no part of the article, by its name or a class, id or role."""
     if name in _NOT_TEXT:
-        return True
+        return not (name == "header" and in_main)
     if name in _MAIN or name in ("body", "html") or "=" not in attributes:
         return False
-    return any(w in _ASIDE_WORDS for m in _WORDS.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    for m in _WORDS.finditer(attributes):
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [p for p in _PARTS.split(word) if p]
+            if any(p in _ASIDE_WORDS for p in parts) and all(p in _ASIDE_WORDS or p in _BESIDE_WORDS for p in parts):
+                return True
+    return False
 
 
-def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """The text of each block, whether it is in a part that counts, and whether it is in an article or main element."""
+def lines(page: str) -> tuple[list[Line], list[str], list[int]]:
+    """The blocks of a page with their innermost containers (two blank ones where a container begins or ends), and the
+    name and the parent of every container, in the order in which they begin."""
     page = _RAW.sub(" ", page)
-    texts, counts, mains = [], [], []
+    out: list[Line] = []
     piece: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, aside, main
-    at = asides = main = 0
+    names, parents, inner = [""], [-1], 0
+    opened: Counter[str] = Counter()
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, aside, article or main
+    at = asides = mains = textual = links = linked = 0
 
     def end() -> None:
+        nonlocal linked
         text = " ".join(entities.unescape("".join(piece)).split())
         if text:
-            texts.append(text)
-            counts.append(not asides)
-            mains.append(main > 0)
+            weight = (len(text) - 0.75 * min(linked, len(text))) * (1 if textual else 0.5)
+            out.append(Line(text, not asides, 0.0 if asides else weight, inner))
         piece.clear()
+        linked = 0
+
+    def close() -> None:
+        nonlocal asides, mains, textual, inner
+        name, aside, main = stack.pop()
+        opened[name] -= 1
+        asides, mains, textual = asides - aside, mains - main, textual - (name in _TEXT)
+        if name in _CONTAINERS:
+            inner = parents[inner]
+            blank()
+
+    def blank() -> None:
+        if out and out[-1].text:
+            out.extend([Line("", False, 0.0, -1)] * (WINDOW - 1))
 
     for m in _TAG.finditer(page):
         if m.start() > at:
             piece.append(page[at : m.start()])
+            if links:
+                linked += len(piece[-1].strip())
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
-        if name in _INLINE and not (m[3] and not m[1] and _aside(name, m[3])) and not (m[1] and any(x[0] == name and x[1] for x in stack)):
+        if name == "a":
+            links = 0 if m[1] else 1
+        if name in _INLINE and not (m[3] and not m[1] and _aside(name, m[3], mains > 0)) and not (m[1] and opened[name]):
             continue
         end()
         if name in _VOID or (m[3] and m[3].rstrip().endswith("/")):
             continue
         if not m[1]:
             if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before it
-                _, a, b = stack.pop()
-                asides, main = asides - a, main - b
-            stack.append((name, _aside(name, m[3]), name in _MAIN and not asides))
-            asides, main = asides + stack[-1][1], main + stack[-1][2]
-        elif any(x[0] == name for x in stack):
-            while stack:
-                opened, a, b = stack.pop()
-                asides, main = asides - a, main - b
-                if opened == name:
+                close()
+            stack.append((name, _aside(name, m[3], mains > 0), name in _MAIN and not asides))
+            opened[name] += 1
+            asides, mains, textual = asides + stack[-1][1], mains + stack[-1][2], textual + (name in _TEXT)
+            if name in _CONTAINERS:
+                blank()
+                parents.append(inner)
+                inner = len(names)
+                names.append(name)
+        elif opened[name]:
+            links = 0
+            while True:
+                last = stack[-1][0]
+                close()
+                if last == name:
                     break
     piece.append(page[at:])
     end()
-    return texts, counts, mains
-
-
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    texts, counts, mains = lines(page or "")
-    if not texts:
+    return out, names, parents
+
+
+def stretches(weight: np.ndarray, window: int, surge: float) -> list[tuple[int, int]]:
+    """The ranges (end exclusive) from each surge of the windows' sums to its dive."""
+    sums = np.convolve(weight, np.ones(window))[window - 1 :]  # of each line and those after it
+    least = min(surge, float(sums.max()) / 2)
+    high = sums > least
+    out, k = [], 0
+    while k < len(weight):
+        if high[k] and weight[k]:
+            first = k
+            while k < len(weight) and high[k]:
+                k += 1
+            out.append((first, k))
+        else:
+            k += 1
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    all_, names, parents = lines(page or "")
+    weight = np.array([x.weight for x in all_])
+    if not weight.any():
         return ""
-    in_main = any(m and c for m, c in zip(mains, counts, strict=True))
-    size = np.array([len(t) if c and (m or not in_main) else 0 for t, c, m in zip(texts, counts, mains, strict=True)])
-    sums = np.convolve(size, np.ones(window, np.int64))[window - 1 :]  # of each line and those after it
-    least = 0 if in_main else min(surge, int(sums.max()) - 1)
-    keep, inside = np.zeros(len(size), bool), False
-    for k in range(len(size)):
-        if not inside and sums[k] > least and size[k]:
-            inside = True
-        elif inside and sums[k] == 0:
-            inside = False
-        keep[k] = inside and size[k] > 0
-    return " ".join(t for t, k in zip(texts, keep, strict=True) if k)
+    found = stretches(weight, window, surge)
+    heavy = [float(weight[a:b].sum()) for a, b in found]
+    texts = [range(a, b) for (a, b), w in zip(found, heavy, strict=True) if 2 * w >= max(heavy)]
+
+    def around(some: list[range]) -> int:
+        """The innermost container of all lines of some stretches, or the article or main element around it."""
+        own = [all_[k].container for r in some for k in r if all_[k].counts]
+        a, b = min(own), max(own)
+        while a != b:  # a container begins after those around it
+            a, b = sorted((a, parents[b]))
+        up = a
+        while up > 0 and names[up] not in _MAIN:
+            up = parents[up]
+        return up if up > 0 else a
+
+    whole = around(texts)
+    roots = {whole} if names[whole] not in _PAGE else {around([r]) for r in texts}
+    within = [k in roots for k in range(len(names))]
+    for k in range(1, len(names)):
+        within[k] |= within[parents[k]] and names[parents[k]] not in _PAGE
+    keep = np.zeros(len(all_), bool)
+    for r in texts:
+        keep[r.start : r.stop] = True
+    for k, x in enumerate(all_):
+        keep[k] = x.counts and (keep[k] or within[x.container])
+    return " ".join(x.text for x, k in zip(all_, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -44,6 +44,45 @@ def test_pages_equal_their_articles(spark, sf_dir):
         assert r["text"] == " ".join(unescape(want).split()) and r["n_chars"] == len(r["text"])
 
 
+def article_of(page):
+    import re
+    from html import unescape
+
+    inner = re.sub("<[^>]+>", "", re.sub(r"</?(p|h1|br|div|ul|li)[^>]*>", " ", re.search("<article>(.*)</article>", page, re.S)[1]))
+    return " ".join(unescape(inner).split())
+
+
+def test_windows_find_articles_without_their_names():
+    import re
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    bare = [re.sub(' class="[^"]*"', "", p.replace("<article", "<div").replace("</article", "</div")) for p in pages]
+    same = sum(html.main_text(b) == article_of(p) for b, p in zip(bare, pages, strict=True))
+    assert same >= 0.95 * len(pages)
+    # With a surge at every line with text, the advert before each article comes in.
+    off = sum(html.main_text(b, surge=0) == article_of(p) for b, p in zip(bare, pages, strict=True))
+    assert off <= 0.05 * len(pages)
+
+
+def test_parts_of_articles_stay():
+    body = "word " * 60
+    for page, want in (
+        ("<article><header><h1>Title</h1></header><p>Body</p></article>", "Title Body"),
+        ('<article><p class="share-price">Up 3</p><p>Body</p><div class="share-bar">Share</div><div class="cookie-notice">C</div></article>', "Up 3 Body"),
+        (f"<div><div>By A. Author</div><h1>T</h1><p>{body}</p><ul><li>one</li><li><a href=x>two</a></li></ul><p>end</p></div><div>foot</div>", f"By A. Author T {body}one two end"),
+        (f"<div><div><p>{body}</p></div><div><p>b</p></div><div><p>{body}</p></div></div><div>© us</div>", f"{body}b {body.strip()}"),
+        (f"<body><h1>T</h1><p>{body}</p><div>ad</div><p>x</p><div>foot</div></body>", f"T {body}x"),
+        (f"<header><h1>Site</h1></header><main><article><p>{body}</p></article><article><h2>Second</h2></article></main>", body.strip()),
+        ("<article><p><a href=x>all linked</a></p></article>", "all linked"),
+    ):
+        assert html.main_text(page).split() == want.split()
+
+
+def test_long_and_deep_pages():
+    assert html.main_text("<div>" * 50_000 + "<p>deep text</p>" + "</div>" * 50_000) == "deep text"
+    assert len(html.main_text("<article>" + "<p>one two" * 100_000)) == 100_000 * 8 - 1
+
+
 def test_null_pages_and_empty_table(spark, empty, write_tables):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p>a &amp; b")], "page_id long, url string, html string")
     rows = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.op4_html_text(spark, write_tables(empty, pages=pages)).collect())
