@@ -66,12 +66,34 @@ def rows():
 
 def test_odd_vectors_and_tiles(spark, write_tables, empty, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 8)
+    monkeypatch.setattr(embeddings, "REGION", 16)
     data = rows()
     folder = write_tables(empty, embeddings=spark.createDataFrame(data, SCHEMA))
     found = {r["vec_id"]: tuple(r)[1:] for r in embeddings.op2_embedding_dedup(spark, folder).collect()}
     assert found == brute(data)
 
 
+def test_regions_and_doubles(spark, write_tables, empty, monkeypatch):
+    """Many regions and tiles; vectors in double precision keep their bits."""
+    monkeypatch.setattr(embeddings, "TILE", 200)
+    monkeypatch.setattr(embeddings, "REGION", 100)
+    rng = np.random.Generator(np.random.PCG64(6))
+    data = [(k, rng.normal(size=24).tolist(), 1) for k in range(1500)]
+    for k in range(500):
+        x = np.array(data[k][1])
+        r = rng.normal(size=24)
+        r -= (r @ x) / (x @ x) * x
+        cos = rng.uniform(0.92, 1.0)
+        data.append((5000 + k, (cos * x + (1 - cos**2) ** 0.5 * np.linalg.norm(x) * r / np.linalg.norm(r)).tolist(), 1))
+    data += [(9000, [1.0, 1.0 + 2**-40], 3), (9001, [1.0, 1.0], 3)]
+    want = brute(data)
+    folder = write_tables(empty, embeddings=spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"))
+    found = {r["vec_id"]: tuple(r)[1:] for r in embeddings.op2_embedding_dedup(spark, folder).collect()}
+    assert found.keys() == want.keys() and found[9000] == (1, 9000, True)
+    assert all(found[i][0] <= want[i][0] for i in want)
+    assert sum(found[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
 def test_empty(spark, write_tables, empty):
     folder = write_tables(empty, embeddings=spark.createDataFrame([], SCHEMA))
     assert embeddings.op2_embedding_dedup(spark, folder).collect() == []
