@@ -8,48 +8,39 @@ from pyspark.sql import functions as F
 # The offset basis of 64-bit FNV in two halves; its prime is 2**40 + 435.
 BASIS_HI, BASIS_LO, PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
 _MASK = 0xFFFFFFFF
-_TWO32, _TWO64 = "4294967296", "18446744073709551616"
+_TWO32 = "4294967296"
 
 
 def byte_values(text: Column) -> Column:
     """The UTF-8 bytes of a text as an array of numbers."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    at = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    letters = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # a letter for each byte
+    at = F.when(F.octet_length(text) > 0, F.sequence(F.lit(1), F.octet_length(text))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.ascii(F.substring(letters, i, F.lit(1))).cast("long"))
 
 
-def _times_prime(h: Column) -> Column:
-    low = h["lo"] * PRIME_LOW
-    high = h["hi"] * PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(h["lo"], 8)
-    return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), low.bitwiseAND(F.lit(_MASK)).alias("lo"))
+def _times_prime(hi: Column, lo: Column) -> tuple[Column, Column]:
+    low = lo * PRIME_LOW
+    high = hi * PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(lo, 8)
+    return high.bitwiseAND(F.lit(_MASK)), low.bitwiseAND(F.lit(_MASK))
 
 
-def _basis() -> Column:
-    return F.struct(F.lit(BASIS_HI).cast("long").alias("hi"), F.lit(BASIS_LO).cast("long").alias("lo"))
+def fnv(text: Column) -> Column:
+    """struct<a, a_lo, f, f_lo>: the upper and lower halves of the FNV-1a hash (each byte is mixed in, then multiplied)
+    and of the FNV-1 hash (multiplied, then each byte is mixed in), in one pass over the bytes. Pin it with
+    `lines.once`, or each use folds anew."""
+    high, low = F.lit(BASIS_HI).cast("long"), F.lit(BASIS_LO).cast("long")
 
+    def step(h: Column, b: Column) -> Column:
+        a_hi, a_lo = _times_prime(h["a"], h["a_lo"].bitwiseXOR(b))
+        f_hi, f_lo = _times_prime(h["f"], h["f_lo"])
+        return F.struct(a_hi.alias("a"), a_lo.alias("a_lo"), f_hi.alias("f"), f_lo.bitwiseXOR(b).alias("f_lo"))
 
-def _mixed(h: Column, b: Column) -> Column:
-    return F.struct(h["hi"].alias("hi"), h["lo"].bitwiseXOR(b).alias("lo"))
+    return F.aggregate(byte_values(text), F.struct(high.alias("a"), low.alias("a_lo"), high.alias("f"), low.alias("f_lo")), step)
 
 
-def fnv1a(text: Column) -> Column:
-    """struct<hi, lo> of the FNV-1a hash: each byte is mixed in, then multiplied."""
-    return F.aggregate(byte_values(text), _basis(), lambda h, b: _times_prime(_mixed(h, b)))
-
-
-def fnv1(text: Column) -> Column:
-    """struct<hi, lo> of the FNV-1 hash: multiplied, then each byte is mixed in."""
-    return F.aggregate(byte_values(text), _basis(), lambda h, b: _mixed(_times_prime(h), b))
-
-
-def number(h: Column) -> Column:
-    """The hash as decimal(20,0)."""
-    return (h["hi"].cast("decimal(20,0)") * F.lit(_TWO32).cast("decimal(11,0)") + h["lo"].cast("decimal(20,0)")).cast("decimal(20,0)")
-
-
-def odd(n: Column) -> Column:
-    """The number, plus one if it is even (the second hash of a Bloom filter)."""
-    return F.when(n % 2 == 0, n + 1).otherwise(n).cast("decimal(20,0)")
+def number(high: Column, low: Column) -> Column:
+    """Two halves as decimal(20,0)."""
+    return (high.cast("decimal(20,0)") * F.lit(_TWO32).cast("decimal(11,0)") + low.cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def bloom_name(text: Column) -> Column:
@@ -60,7 +51,13 @@ def bloom_name(text: Column) -> Column:
     return F.when(name != "", name)
 
 
-def position(h1: Column, h2: Column, i: Column, bits: Column) -> Column:
-    """((h1 + i * h2) mod 2**64) mod bits."""
-    total = (h1.cast("decimal(38,0)") + i.cast("decimal(10,0)") * h2).cast("decimal(38,0)") % F.lit(_TWO64).cast("decimal(20,0)")
-    return (total.cast("decimal(20,0)") % bits.cast("decimal(20,0)")).cast("long")
+def position(h: Column, i: Column, bits: Column) -> Column:
+    """((h1 + i * h2) mod 2**64) mod bits for a struct of `fnv`: h1 is FNV-1a, h2 is FNV-1, made odd by its lowest bit.
+
+    In halves and then by 16 bits at a time, so that no product leaves 63 bits while bits is below 2**47.
+    """
+    low = h["a_lo"] + i * h["f_lo"].bitwiseOR(F.lit(1))
+    high = (h["a"] + i * h["f"] + F.shiftright(low, 32)).bitwiseAND(F.lit(_MASK))
+    low = low.bitwiseAND(F.lit(_MASK))
+    upper = ((high % bits) * 65536 + F.shiftright(low, 16)) % bits
+    return (upper * 65536 + low.bitwiseAND(F.lit(0xFFFF))) % bits

@@ -13,14 +13,37 @@ ENDINGS = (".txt", ".csv", ".hosts", ".list", ".php")
 SKIPPED = ("raw", "master", "main", "latest", "refs", "heads", "gh", "download", "downloads", "extension")
 
 
+_BROKEN_ESCAPE = "%($|[^0-9A-Fa-f]|[0-9A-Fa-f]($|[^0-9A-Fa-f]))"
+_URL = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?]*)([^?]*)"
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def _part(url: Column, group: int) -> Column:
+    """What stands before the first slash (1) or after it (2), with or without a scheme before."""
+    return F.regexp_extract(F.regexp_replace(url, "(?s)#.*$", ""), _URL, group)
+
+
 def host(url: Column) -> Column:
     """Host with port, without user info, in lower case; empty if there is none."""
-    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), "^.*@", ""))
+    return F.lower(_decoded(F.regexp_replace(_part(url, 1), "(?s)^.*@", "")))
 
 
 def path(url: Column) -> Column:
-    raw = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    return _decoded(_part(url, 2))
+
+
+def is_malformed(url: Column) -> Column:
+    """Whether a URL cannot be parsed: control characters, broken percent escapes, a port that is no number, or characters
+    that cannot stand in a host or user info."""
+    authority, fragment = _part(url, 1), F.regexp_extract(url, "(?s)#(.*)$", 1)
+    name, user = F.regexp_replace(authority, "(?s)^.*@", ""), F.regexp_extract(authority, "(?s)^(.*)@", 1)
+    bad_host = ~name.rlike(r"""^([A-Za-z0-9\-_.~!$&'()*+,;=:\[\]<>"]|[^\x00-\x7f]|%[89A-Fa-f][0-9A-Fa-f])*$""")
+    bad_port = F.when(name.startswith("["), ~name.rlike(r"^\[[^\]]*\](:[0-9]*)?$")).otherwise(name.rlike(":[^:]*[^0-9:][^:]*$"))
+    bad_user = user.rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]") | user.rlike(_BROKEN_ESCAPE)
+    return url.rlike(r"[\x00-\x1f\x7f]") | fragment.rlike(_BROKEN_ESCAPE) | _part(url, 2).rlike(_BROKEN_ESCAPE) | bad_host | bad_port | bad_user
 
 
 def short_host(name: Column) -> Column:
@@ -32,7 +55,8 @@ def short_host(name: Column) -> Column:
 
 
 def derive_name(url: Column) -> Column:
-    """Host, up to three telling path parts and eight digits of the URL's SHA-256, joined by underscores."""
+    """Host, up to three telling path parts and eight digits of the URL's SHA-256, joined by underscores; `filter` where
+    there is no host or the URL is malformed."""
     parts = F.split(F.lower(F.regexp_replace(path(url), "^/+|/+$", "")), "/")
     parts = reduce(lambda p, e: F.transform(p, lambda x: F.regexp_replace(x, e.replace(".", r"\.") + "$", "")), ENDINGS, parts)
     parts = F.filter(parts, lambda x: (x != "") & ~x.isin(*SKIPPED))
@@ -41,7 +65,7 @@ def derive_name(url: Column) -> Column:
     whole = F.array_join(F.concat(F.filter(F.array(owner), lambda x: x != ""), parts), "_")
     digest = F.substring(F.sha2(url, 256), 1, 8)
     name = F.concat(F.translate(F.replace(whole, F.lit("@"), F.lit("")), ".- ", "___"), F.lit("_"), digest)
-    return sanitize(F.when(host(url) == "", F.lit("filter")).when(whole == "", F.concat(F.lit("filter_"), digest)).otherwise(name))
+    return sanitize(F.when(is_malformed(url) | (_part(url, 1) == "") | (host(url) == ""), F.lit("filter")).when(whole == "", F.concat(F.lit("filter_"), digest)).otherwise(name))
 
 
 def sanitize(name: Column) -> Column:

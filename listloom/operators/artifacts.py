@@ -1,21 +1,25 @@
 """Artifacts of compiled lists in their fixed binary and text layouts.
 
 An artifact is a table of parts of bounded size: (list_id, entry, part, content). The parts of an entry, joined by
-their number, are its bytes, so no task builds a whole artifact and no cell grows with a list.
+their number, are its bytes. Tries are cut by byte position, where a node's head and each of its children are records of
+their own, Bloom filters by blocks, texts by lines: no task builds a whole artifact, and no cell grows with a list or with
+what it has under one name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bloom, trie
+from .rules import domains
 
 # Magic numbers and versions of the two binary formats.
 TRIE_MAGIC, TRIE_VERSION = "54524945", 2
 BLOOM_MAGIC, BLOOM_VERSION = "424C4F4D", 1
-#: Bytes of a part of a trie or Bloom filter, and lines of a part of a text.
-PART, LINES = 1 << 20, 100_000
+#: Bytes of a part of a trie (a record that begins in it is in it), blocks of one of a Bloom filter, lines of one of a text.
+PART, BLOCKS, LINES = 1 << 20, 256, 100_000
 COLUMNS = ("list_id", "entry", "part", "content")
 
 
@@ -23,32 +27,34 @@ def big_endian(n: Column, width: int) -> Column:
     return F.unhex(F.lpad(F.hex(n.cast("long")), width * 2, "0"))
 
 
-def trie_parts(domains: DataFrame, part: int = PART) -> DataFrame:
-    """The serialised tries: a header, then each node with the labels and offsets of its children."""
-    nodes = trie.nodes(domains)
-    placed = trie.laid_out(nodes)
-    up = placed.where("depth > 0").select("list_id", F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), F.element_at("path", -1).alias("label"), "byte_offset")
-    child = F.concat(big_endian(F.octet_length("label"), 2), F.encode("label", "UTF-8"), big_endian(F.col("byte_offset"), 4))
-    below = up.select("list_id", "path", "label", child.alias("child")).groupBy("list_id", "path").agg(F.sort_array(F.collect_list(F.struct("label", "child"))).alias("below"))
-    full = placed.join(below, ["list_id", "path"], "left")
-    heads = F.concat(F.unhex(F.when(F.col("is_terminal"), "01").otherwise("00")), big_endian(F.col("child_count"), 4))
-    tail = F.unhex(F.array_join(F.transform(F.coalesce(F.col("below")["child"], F.array().cast("array<binary>")), F.hex), ""))
-    records = full.select("list_id", F.col("byte_offset").alias("at"), F.concat(heads, tail).alias("bytes"))
-    counts = trie.stats(nodes)
+def trie_parts(placed: DataFrame, part: int = PART) -> DataFrame:
+    """The serialised tries from laid-out nodes: a header, then each node with the labels and offsets of its children.
+
+    A child's record lies behind the header, the heads of all nodes up to its parent and the records of all children before.
+    """
+    up = F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))
+    parents = placed.where("child_count > 0").select("list_id", F.col("path").alias("up"), F.col("bfs_index").alias("parent"))
+    below = placed.where("depth > 0").withColumn("up", up).join(parents, ["list_id", "up"])
+    label = F.element_at("path", -1)
+    child = F.concat(big_endian(F.octet_length(label), 2), F.encode(label, "UTF-8"), big_endian(F.col("byte_offset"), 4))
+    children = below.select("list_id", (F.lit(trie.HEADER + 5) + 5 * F.col("parent") + F.col("labels_before")).alias("at"), child.alias("bytes"))
+    heads = placed.select("list_id", F.col("byte_offset").alias("at"), F.concat(F.unhex(F.when(F.col("is_terminal"), "01").otherwise("00")), big_endian(F.col("child_count"), 4)).alias("bytes"))
+    counts = trie.stats(placed)
     header = counts.select("list_id", F.lit(0).cast("long").alias("at"), F.concat(F.unhex(F.lit(TRIE_MAGIC)), big_endian(F.lit(TRIE_VERSION), 4), big_endian(F.col("node_count"), 4), big_endian(F.col("terminal_count"), 4)).alias("bytes"))
-    return _joined(header.unionAll(records), "trie", F.floor(F.col("at") / part))
+    return _joined(header.unionAll(heads).unionAll(children), "trie", F.floor(F.col("at") / part))
 
 
-def bloom_parts(domains: DataFrame, part: int = PART) -> DataFrame:
+def bloom_parts(domains: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """The serialised Bloom filters: a header, then all bytes, zero or not."""
     sizes = bloom.params(domains)
-    set_ = bloom.filter_bytes(bloom.positions(domains, sizes))
-    step = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bit_count") / 8 - 1) / part))).alias("part")
-    each = sizes.select("list_id", "bit_count", step)
-    each = each.select("list_id", "part", F.explode(F.sequence(F.col("part") * part, F.least((F.col("part") + 1) * part, F.col("bit_count") / 8).cast("long") - 1)).alias("byte_idx"))
-    all_ = each.join(set_, ["list_id", "byte_idx"], "left").select("list_id", (F.col("byte_idx") + 24).alias("at"), big_endian(F.coalesce("byte_val", F.lit(0)), 1).alias("bytes"))
-    header = sizes.select("list_id", F.lit(0).cast("long").alias("at"), F.concat(F.unhex(F.lit(BLOOM_MAGIC)), big_endian(F.lit(BLOOM_VERSION), 4), big_endian(F.col("bit_count"), 8), big_endian(F.col("hash_count"), 4), F.unhex(F.lit("00000000"))).alias("bytes"))
-    return _joined(header.unionAll(all_), "bloom", F.floor(F.col("at") / part))
+    set_ = bloom.blocks(bloom.positions(domains, sizes))
+    n_bytes = F.shiftright("bit_count", 3)
+    all_ = sizes.select("list_id", n_bytes.alias("n_bytes"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n_bytes - 1) / bloom.BLOCK))).alias("block"))
+    size = F.least(F.lit(bloom.BLOCK).cast("long"), F.col("n_bytes") - F.col("block") * bloom.BLOCK).cast("int")
+    content = F.substring(F.coalesce("bits", F.unhex(F.lit("00" * bloom.BLOCK))), F.lit(1), size)
+    records = all_.join(set_, ["list_id", "block"], "left").select("list_id", F.col("block").alias("at"), content.alias("bytes"))
+    header = sizes.select("list_id", F.lit(-1).cast("long").alias("at"), F.concat(F.unhex(F.lit(BLOOM_MAGIC)), big_endian(F.lit(BLOOM_VERSION), 4), big_endian(F.col("bit_count"), 8), big_endian(F.col("hash_count"), 4), F.unhex(F.lit("00000000"))).alias("bytes"))
+    return _joined(header.unionAll(records), "bloom", F.greatest(F.floor(F.col("at") / blocks), F.lit(0)))
 
 
 def _joined(records: DataFrame, entry: str, part: Column) -> DataFrame:
@@ -64,11 +70,13 @@ def css_parts(rules: DataFrame, lines: int = LINES) -> DataFrame:
     return _texts(text, "css")
 
 
-def scriptlet_parts(rules: DataFrame) -> DataFrame:
-    """Scriptlet rules, a line each, sorted by bytes; a part holds the rules with the same first two characters."""
-    text = rules.where("kind = 'scriptlet'").withColumn("two", F.substring("text", 1, 2))
-    first = F.conv(F.substring(F.rpad(F.hex(F.encode("two", "UTF-8")), 14, "0"), 1, 14), 16, 10).cast("long")
-    return _texts(text.select("list_id", first.alias("part"), F.struct(F.lit(0).alias("first_line"), "text").alias("row")), "scriptlets")
+def scriptlet_parts(rules: DataFrame, lines: int = LINES) -> DataFrame:
+    """Scriptlet rules, a line each, sorted by bytes; parts are runs of lines of one range partition, so that neither a
+    list nor a common beginning is one task's."""
+    ranged = rules.where("kind = 'scriptlet'").select("list_id", "text").repartitionByRange("list_id", "text").withColumn("piece", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("list_id", "piece").orderBy("text")) - 1
+    part = F.shiftleft(F.col("piece").cast("long"), 32) + F.floor(nth / lines)
+    return _texts(ranged.select("list_id", part.alias("part"), F.struct(F.lit(0).alias("first_line"), "text").alias("row")), "scriptlets")
 
 
 def _texts(rows: DataFrame, entry: str) -> DataFrame:
@@ -82,13 +90,11 @@ def info_parts(counted: DataFrame, lists: DataFrame, updated: str) -> DataFrame:
     return counted.join(lists.select("list_id", "url"), "list_id").select("list_id", F.lit("info.json").alias("entry"), F.lit(0).cast("long").alias("part"), F.encode(text, "UTF-8").alias("content"))
 
 
-def bundle(rules: DataFrame, counted: DataFrame, lists: DataFrame, updated: str) -> DataFrame:
-    """All entries of all lists that hold a rule; an entry without data has no rows."""
-    from .rules import domains
-
-    names = domains(rules)
+def bundle(rules: DataFrame, placed: DataFrame, counted: DataFrame, lists: DataFrame, updated: str) -> DataFrame:
+    """All entries of all lists that hold a rule, from the rules and the laid-out nodes of their domains; both are read
+    several times, so hand in stored tables. An entry without data has no rows."""
     full = counted.where("domains + cosmetic + scriptlets > 0")
-    parts = [trie_parts(names), bloom_parts(names), css_parts(rules), scriptlet_parts(rules), info_parts(full, lists, updated)]
+    parts = [trie_parts(placed), bloom_parts(domains(rules)), css_parts(rules), scriptlet_parts(rules), info_parts(full, lists, updated)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -113,6 +119,10 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("entry string, part long, content binary, list_id string").parquet(folder).select(*COLUMNS)
 
 
-def unpublish(spark: SparkSession, folder: str, target: str, gone: DataFrame) -> None:
-    """Writes what is left without the lists in gone (list_id) to another folder."""
-    publish(published(spark, folder).join(gone.select("list_id"), "list_id", "left_anti"), target)
+def unpublish(spark: SparkSession, folder: str, list_ids: list[str]) -> None:
+    """Removes the parts of some lists; what else is in the folder stays untouched. Unknown lists do no harm."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in list_ids:
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/list_id={escaped}")
+        path.getFileSystem(conf).delete(path, True)

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions.lines import once
 
 #: Target false-positive rate, used too where a rate is out of range.
 RATE = 0.001
+#: Bytes of a block: Spark's own bitmaps have this size.
+BLOCK = 4096
 
 
 def bit_count(n: Column, rate: float = RATE) -> Column:
@@ -32,9 +35,9 @@ def params(domains: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def hashed(names: DataFrame, name: str = "domain") -> DataFrame:
-    """names with h1 and h2 of the normalised name; rows whose name comes to nothing go."""
+    """names with `hash`, both hashes of the normalised name; rows whose name comes to nothing go."""
     put = names.withColumn("_name", H.bloom_name(F.col(name))).where("_name is not null")
-    return put.withColumn("h1", H.number(H.fnv1a(F.col("_name")))).withColumn("h2", H.odd(H.number(H.fnv1(F.col("_name"))))).drop("_name")
+    return once(put, "hash", H.fnv(F.col("_name"))).drop("_name")
 
 
 def positions(domains: DataFrame, params_: DataFrame) -> DataFrame:
@@ -42,7 +45,13 @@ def positions(domains: DataFrame, params_: DataFrame) -> DataFrame:
     # The size table has a row a list; Spark broadcasts it only below its own size threshold.
     with_size = hashed(domains).join(params_.select("list_id", "bit_count", "hash_count"), "list_id")
     each = with_size.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hash_count") - 1)))
-    return each.select("list_id", "domain", "i", H.position(F.col("h1"), F.col("h2"), F.col("i"), F.col("bit_count")).alias("pos"))
+    return each.select("list_id", "domain", "i", H.position(F.col("hash"), F.col("i"), F.col("bit_count")).alias("pos"))
+
+
+def blocks(positions_: DataFrame) -> DataFrame:
+    """list_id, block, bits: BLOCK bytes of a filter that aren't all zero, the lowest bit of each byte first."""
+    at = F.col("pos") + 1  # Spark counts bits of its bitmaps from 1
+    return positions_.groupBy("list_id", (F.bitmap_bucket_number(at) - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
 
 def filter_bytes(positions_: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def merged(domains: DataFrame, name: str = "all") -> DataFrame:
 def probe(names: DataFrame, bits: int, hashes: int, bytes_: DataFrame) -> DataFrame:
     """name of the distinct names that one filter (its bit count, hash count and bytes) may hold: all its bits are set."""
     each = hashed(names.select("name").distinct(), "name").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    bit = each.select("name", H.position(F.col("h1"), F.col("h2"), F.col("i"), F.lit(bits)).alias("pos"))
+    bit = each.select("name", H.position(F.col("hash"), F.col("i"), F.lit(bits).cast("long")).alias("pos"))
     met = bit.withColumn("byte_idx", F.shiftright("pos", 3)).join(bytes_.select("byte_idx", "byte_val"), "byte_idx")
     hit = met.where(F.expr("shiftright(byte_val, cast(pos & 7 as int)) & 1 = 1"))
     return hit.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") == hashes).select("name")

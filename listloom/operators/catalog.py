@@ -1,11 +1,15 @@
-"""The catalog of compiled lists: sorting, paging, search, upsert, delete and what is still to build."""
+"""The catalog of compiled lists: sorting, paging, search, upsert, versioned snapshots, delete and what is still to build."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.folders import stored
+
+SCHEMA = "id long, name string, url string, r2_download_link string, rule_count int, file_size long, last_updated timestamp, created_at timestamp"
+COLUMNS = ["id", "name", "url", "r2_download_link", "rule_count", "file_size", "last_updated", "created_at"]
 # What may be sorted by, and the columns meant.
 SORTS = {"time": "last_updated", "size": "file_size", "rule": "rule_count", "name": "name"}
 
@@ -47,23 +51,40 @@ def duplicate_urls(catalog: DataFrame) -> DataFrame:
 def upsert(catalog: DataFrame, batch: DataFrame, now: str) -> DataFrame:
     """The catalog after a batch (name, url, r2_download_link, rule_count, file_size, seq) at the time `now`.
 
-    A known url keeps id and created_at; of a url that comes twice the largest seq counts. New ids follow the largest,
-    in order of the urls: ids are counted within slices of the urls and the slices' totals are added.
+    A known url keeps id and created_at; of a url that comes twice the largest seq counts. New ids follow the largest, in
+    order of the urls: new rows are stored by ranges of their urls, ids are counted within each range, and the few ranges'
+    totals are added.
     """
     names = ("name", "r2_download_link", "rule_count", "file_size")
     last = batch.groupBy("url").agg(F.max_by(F.struct(*names), "seq").alias("new"))
     clock = F.lit(now).cast("timestamp")
     both = catalog.withColumn("old", F.lit(True)).join(last, "url", "full")
     known = both.where("old").select("id", *(F.coalesce(f"new.{c}", c).alias(c) for c in names), "url", F.when(F.col("new").isNotNull(), clock).otherwise(F.col("last_updated")).alias("last_updated"), "created_at")
-    fresh = both.where("old is null").select("url", "new.*").withColumn("slice", F.substring("url", 1, 24))
-    nth = F.row_number().over(Window.partitionBy("slice").orderBy("url"))
-    totals = fresh.groupBy("slice").agg(F.count("*").alias("n"))
-    starts = totals.select("slice", (F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    fresh = last.join(catalog.select("url"), "url", "left_anti").select("url", "new.*")
+    ranged = stored(fresh.repartitionByRange("url").withColumn("piece", F.spark_partition_id()), "upsert")
+    nth = F.row_number().over(Window.partitionBy("piece").orderBy("url"))
+    totals = ranged.groupBy("piece").agg(F.count("*").alias("n"))  # a row a range: no more than shuffle partitions
+    so_far = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = totals.select("piece", (F.sum("n").over(so_far) - F.col("n")).alias("before"))
     top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    numbered = fresh.withColumn("nth", nth).join(starts, "slice")
-    added = numbered.select((F.lit(top) + F.col("before") + F.col("nth")).alias("id"), *names, "url", clock.alias("last_updated"), clock.alias("created_at"))
-    columns = ["id", "name", "url", "r2_download_link", "rule_count", "file_size", "last_updated", "created_at"]
-    return known.select(columns).unionAll(added.select(columns))
+    added = ranged.withColumn("nth", nth).join(starts, "piece").select((F.lit(top) + F.col("before") + F.col("nth")).alias("id"), *names, "url", clock.alias("last_updated"), clock.alias("created_at"))
+    return known.select(COLUMNS).unionAll(added.select(COLUMNS))
+
+
+def write(catalog: DataFrame, folder: str, version: int) -> None:
+    """Writes a snapshot of the catalog; a version that is written again is replaced, others stay."""
+    catalog.select(COLUMNS).write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The last snapshot (before a version); an empty catalog where there is none."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(f"{SCHEMA}, version int").parquet(folder)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    version = rows.agg(F.max("version").alias("v")).first()["v"]
+    return rows.where(F.col("version") == version).select(COLUMNS) if version is not None else spark.createDataFrame([], SCHEMA)
 
 
 def delete(catalog: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +102,6 @@ def cached(requested: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """run_id, succeeded, failed; a failure to write the catalog alone is no failure."""
+    """run_id, succeeded, failed of runs (run_id, status, stage); a failure to write the catalog alone is no failure."""
     failed = (F.col("status") == "failed") & (F.col("stage") != "catalog")
     return runs.groupBy("run_id").agg(F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"))

@@ -35,13 +35,19 @@ def matched_rule(queries: DataFrame, domains: DataFrame) -> DataFrame:
     return met.groupBy("qname").agg(F.min_by("suffix", "labels").alias("rule"), F.count("*").alias("n_rules"))
 
 
-def verdicts(queries: DataFrame, custom: DataFrame, security: DataFrame, ads: DataFrame) -> DataFrame:
+def sides(security: DataFrame, ads: DataFrame) -> DataFrame:
+    """suffix, sec, ad: the domains of the security and of the ad lists, once each."""
+    both = security.select(F.col("domain").alias("suffix"), F.lit(True).alias("sec")).unionAll(ads.select("domain", F.lit(False)))
+    return both.groupBy("suffix").agg(F.bool_or("sec").alias("sec"), F.bool_or(~F.col("sec")).alias("ad"))
+
+
+def verdicts(queries: DataFrame, custom: DataFrame, rules: DataFrame) -> DataFrame:
     """queries with a verdict: custom rule (0 allow, 1 block) before security list before ad list before forward.
 
-    custom: qname, action; security and ads: domain.
+    custom: qname, action; rules: suffix, sec, ad. Names are exploded and matched once for both kinds of list.
     """
-    hit = lambda d, name: covered(queries, d).withColumn(name, F.lit(True))
-    joined = queries.join(custom.select("qname", "action"), "qname", "left").join(hit(security, "sec"), "qname", "left").join(hit(ads, "ad"), "qname", "left")
+    hit = suffixes(queries).join(rules, "suffix").groupBy("qname").agg(F.bool_or("sec").alias("sec"), F.bool_or("ad").alias("ad"))
+    joined = queries.join(custom.select("qname", "action"), "qname", "left").join(hit, "qname", "left")
     verdict = (
         F.when(F.col("action") == 0, "allow_custom").when(F.col("action") == 1, "block_custom")
         .when(F.col("sec"), "block_security").when(F.col("ad"), "block_ad").otherwise("forward")

@@ -42,15 +42,22 @@ def _sliced(df: DataFrame) -> DataFrame:
 
 
 def laid_out(nodes_: DataFrame) -> DataFrame:
-    """Nodes with child_count, bfs_index (the root is 0) and byte_offset in the serialised trie."""
+    """Nodes with child_count, bfs_index (the root is 0), byte_offset in the serialised trie, and labels_before: the bytes
+    of the child records of all nodes before, from which a child's place in its parent's record follows."""
     full = nodes_.join(children(nodes_), ["list_id", "path"], "left")
-    full = _sliced(full.select("list_id", "path", "depth", "is_terminal", F.coalesce("child_count", F.lit(0)).alias("child_count"), (F.coalesce("child_bytes", F.lit(0)) + 5).alias("n_bytes")))
+    own = F.when(F.col("depth") > 0, F.octet_length(F.try_element_at("path", F.lit(-1))) + 6).otherwise(0).cast("long")
+    full = _sliced(full.select(
+        "list_id", "path", "depth", "is_terminal", F.coalesce("child_count", F.lit(0)).alias("child_count"), (F.coalesce("child_bytes", F.lit(0)) + 5).alias("n_bytes"), own.alias("n_label"),
+    ))
     inner = Window.partitionBy("list_id", "slice").orderBy("path")
-    here = full.withColumn("nth", F.row_number().over(inner) - 1).withColumn("upto", F.sum("n_bytes").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_bytes"))
-    totals = full.groupBy("list_id", "slice").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda c: F.sum(c).over(so_far) - F.col(c)
+    here = full.withColumn("nth", F.row_number().over(inner) - 1).withColumn("upto", before("n_bytes")).withColumn("labels_upto", before("n_label"))
+    totals = full.groupBy("list_id", "slice").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum("n_label").alias("labels"))
     outer = Window.partitionBy("list_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select("list_id", "slice", (F.sum("n").over(outer) - F.col("n")).alias("before"), (F.sum("bytes").over(outer) - F.col("bytes")).alias("bytes_before"))
+    ahead = lambda c: F.sum(c).over(outer) - F.col(c)
+    starts = totals.select("list_id", "slice", ahead("n").alias("before"), ahead("bytes").alias("bytes_before"), ahead("labels").alias("l_before"))
     return here.join(starts, ["list_id", "slice"]).select(
-        "list_id", "path", "depth", "is_terminal", "child_count",
-        (F.col("before") + F.col("nth")).cast("long").alias("bfs_index"), (F.col("bytes_before") + F.col("upto") + HEADER).cast("long").alias("byte_offset"), "n_bytes",
+        "list_id", "path", "depth", "is_terminal", "child_count", (F.col("before") + F.col("nth")).cast("long").alias("bfs_index"),
+        (F.col("bytes_before") + F.col("upto") + HEADER).cast("long").alias("byte_offset"), "n_bytes", (F.col("l_before") + F.col("labels_upto")).cast("long").alias("labels_before"),
     )

@@ -28,19 +28,19 @@ def bad_type(content_type: Column) -> Column:
 
 
 def window(body: Column) -> Column:
-    """The first bytes as text; bytes that are no UTF-8 are replaced."""
-    return F.decode(F.substring(body, 1, WINDOW), "UTF-8")
+    """The first bytes as text; bytes that are no UTF-8, a character cut at the end included, are replaced."""
+    return F.make_valid_utf8(F.substring(body, 1, WINDOW).cast("string"))
 
 
 def is_html(body: Column) -> Column:
-    return F.lower(L.trim(F.substring(window(body), 1, WINDOW))).rlike("^<(!doctype|html|head)")
+    return F.lower(L.trim(window(body))).rlike("^<(!doctype|html|head)")
 
 
-def line_verdicts(log: DataFrame, key: str = "url") -> DataFrame:
-    """key, has_signature, plain_lines, is_list from the first lines of each body; one row an input row."""
+def line_verdicts(log: DataFrame, *keys: str) -> DataFrame:
+    """keys, has_signature, plain_lines, is_list from the first lines of each body; one row an input row."""
     rows = F.slice(F.split(window(F.col("body")), "\r?\n"), 1, LINES)
-    rows = F.transform(rows, L.trim)
-    each = log.select(key, F.exists(rows, L.is_signature).alias("has_signature"), F.size(F.filter(rows, L.looks_like_domain)).alias("plain_lines"))
+    pinned = L.once(log.select(*keys, "body"), "_lines", F.transform(rows, L.trim))
+    each = pinned.select(*keys, F.exists("_lines", L.is_signature).alias("has_signature"), F.size(F.filter("_lines", L.looks_like_domain)).alias("plain_lines"))
     return each.withColumn("is_list", F.col("has_signature") | (F.col("plain_lines") >= PLAIN))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..functions import naming as N
 from ..operators import artifacts, bloom, catalog, increment, match, rules, trie, validate
 from ..sources import fixtures as X
 from ..sources import lists as S
+from ..sources.folders import shared_folder, stored
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +28,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(spark, sf):
     return X.filter_lines(spark, sf)
 
@@ -68,9 +61,16 @@ def line():
     return F.col("line")
 
 
+def _landed(spark, sf):
+    """The lines as scanned from text files that they are landed in."""
+    folder = shared_folder(spark, "lists")
+    S.land(X.landed_lines(spark, sf), folder)
+    return S.scan(spark, folder)
+
+
 @query
 def scan_list_lines(spark, sf):
-    lines = _lines(spark, sf).groupBy("list_id").agg(F.count("*").alias("n_lines"), F.max(F.octet_length("raw")).alias("longest"))
+    lines = _landed(spark, sf).groupBy("list_id").agg(F.count("*").alias("n_lines"), F.max(F.octet_length("raw")).alias("longest"))
     return lines.withColumn("too_long", F.col("longest") >= S.LONGEST)
 
 
@@ -142,7 +142,8 @@ def rule_counts(spark, sf):
 
 @query
 def empty_lists(spark, sf):
-    return rules.empty(_counted(spark, sf))
+    lines = _landed(spark, sf)
+    return rules.empty(rules.counts(rules.first_seen(S.readable(lines)), lines))
 
 
 @query
@@ -170,14 +171,15 @@ def trie_offsets(spark, sf):
     return trie.laid_out(trie.nodes(_domains(spark, sf))).select("list_id", _joined(), "bfs_index", "byte_offset")
 
 
-@query
-def fnv1a64(spark, sf):
-    return _domains(spark, sf).select("list_id", "domain", H.number(H.fnv1a(F.col("domain"))).cast("string").alias("h1"))
+def _hash(name: str, high: str, low: str) -> Query:
+    def run(spark, sf):
+        hashed = L.once(_domains(spark, sf), "hash", H.fnv(F.col("domain")))
+        return hashed.select("list_id", "domain", H.number(F.col("hash")[high], F.col("hash")[low]).cast("string").alias(name))
+
+    return run
 
 
-@query
-def fnv1_64(spark, sf):
-    return _domains(spark, sf).select("list_id", "domain", H.number(H.fnv1(F.col("domain"))).cast("string").alias("f1"))
+QUERIES["fnv1a64"], QUERIES["fnv1_64"] = _hash("h1", "a", "a_lo"), _hash("f1", "f", "f_lo")
 
 
 @query
@@ -252,7 +254,7 @@ def _custom(spark, sf):
 
 @query
 def dns_verdict(spark, sf):
-    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), *_sides(spark, sf))
+    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), match.sides(*_sides(spark, sf)))
 
 
 @query
@@ -263,20 +265,20 @@ def stream_verdict(spark, sf):
     landed, target, state = (shared_folder(spark, f"verdict-{x}") for x in ("landed", "out", "state"))
     names = X.dns_queries(spark, sf)
     names.write.parquet(landed)
-    live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), *_sides(spark, sf), target, state)
+    live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), match.sides(*_sides(spark, sf)), target, state)
     return spark.read.parquet(target).select("query_id", "ts", "qname", "verdict")
 
 
 @query
 def refresh_lists(spark, sf):
-    """Status and size of every list, compiled from a stream over the landed lines."""
+    """Status, rules and catalogued size of every list, compiled from a stream over the landed files."""
     from ..streaming import live
 
     landed, target, state = (shared_folder(spark, f"refresh-{x}") for x in ("landed", "out", "state"))
-    _lines(spark, sf).write.parquet(landed)
+    S.land(X.landed_lines(spark, sf), landed)
     live.refresh(spark, landed, target, state, UPDATED)
-    sizes = artifacts.bundle_size(artifacts.published(spark, f"{target}/artifacts"))
-    return spark.read.parquet(f"{target}/runs").select("list_id", "status", "rule_count").join(sizes, "list_id", "left")
+    rows = catalog.current(spark, f"{target}/catalog").select(F.col("name").alias("list_id"), "file_size")
+    return spark.read.parquet(f"{target}/runs").where("stage = 'compile'").select("list_id", "status", "rule_count").join(rows, "list_id", "left").fillna(0, ["file_size"])
 
 
 @query
@@ -292,7 +294,8 @@ def catalog_by_url(spark, sf):
 
 @query
 def catalog_dup_urls(spark, sf):
-    return catalog.duplicate_urls(X.read(spark, sf, "pages"))
+    rows = X.filter_lists(spark, sf)
+    return catalog.duplicate_urls(rows.select("url").unionAll(X.upsert_batch(rows).select("url")))
 
 
 @query
@@ -324,6 +327,16 @@ def catalog_upsert(spark, sf):
     return catalog.upsert(rows, X.upsert_batch(rows), X.NOW)
 
 
+@query
+def catalog_write(spark, sf):
+    """The catalog after an upsert, written as a second snapshot and read back."""
+    folder = shared_folder(spark, "catalog")
+    catalog.write(X.filter_lists(spark, sf), folder, 1)
+    rows = catalog.current(spark, folder)
+    catalog.write(catalog.upsert(rows, X.upsert_batch(rows), X.NOW), folder, 2)
+    return catalog.current(spark, folder)
+
+
 @query
 def catalog_delete(spark, sf):
     rows = X.filter_lists(spark, sf)
@@ -345,13 +358,13 @@ def build_cached(spark, sf):
 @query
 def run_summary(spark, sf):
     ok = validate.line_verdicts(X.fetch_log(spark, sf), "page_id")
-    runs = ok.select((F.col("page_id") % 5).alias("run_id"), F.when(F.col("is_list"), "ok").otherwise("failed").alias("status"), F.lit("compile").alias("stage"))
+    runs = ok.select((F.col("page_id") % 5).alias("run_id"), F.when(F.col("is_list"), "ok").otherwise("failed").alias("status"), F.when(F.col("page_id") % 3 == 0, "catalog").otherwise("compile").alias("stage"))
     return catalog.run_summary(runs)
 
 
 @query
 def derive_name(spark, sf):
-    return X.read(spark, sf, "pages").select("page_id", "url", N.derive_name(F.col("url")).alias("name"))
+    return X.urls(spark, sf).select("page_id", "url", N.derive_name(F.col("url")).alias("name"))
 
 
 @query
@@ -387,8 +400,7 @@ def signature_lines(spark, sf):
 
 @query
 def list_verdict(spark, sf):
-    log = X.fetch_log(spark, sf)
-    return log.select("page_id", "url").join(validate.line_verdicts(log, "page_id"), "page_id")
+    return validate.line_verdicts(X.fetch_log(spark, sf), "page_id", "url")
 
 
 @query
@@ -396,14 +408,18 @@ def validate_fetch(spark, sf):
     return validate.checked(X.fetch_log(spark, sf)).select("page_id", "url", "problem")
 
 
+def _digest(parts):
+    return parts.select("list_id", "part", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query
 def artifact_trie(spark, sf):
-    return artifacts.trie_parts(_domains(spark, sf))
+    return _digest(artifacts.trie_parts(stored(trie.laid_out(trie.nodes(_domains(spark, sf))), "nodes")))
 
 
 @query
 def artifact_bloom(spark, sf):
-    return artifacts.bloom_parts(_domains(spark, sf))
+    return _digest(artifacts.bloom_parts(stored(_domains(spark, sf), "domains")))
 
 
 @query
@@ -413,7 +429,11 @@ def artifact_css(spark, sf):
 
 @query
 def artifact_scriptlets(spark, sf):
-    return artifacts.scriptlet_parts(_rules(spark, sf)).select("list_id", F.decode("content", "UTF-8").alias("content"))
+    """The lines of each list's scriptlets with their places."""
+    parts = artifacts.scriptlet_parts(_rules(spark, sf)).select("list_id", "part", F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n").alias("lines"))
+    ahead = catalog.Window.partitionBy("list_id").orderBy("part").rowsBetween(catalog.Window.unboundedPreceding, -1)
+    placed = parts.withColumn("before", F.coalesce(F.sum(F.size("lines")).over(ahead), F.lit(0)))
+    return placed.select("list_id", "before", F.posexplode("lines").alias("at", "text")).select("list_id", (F.col("before") + F.col("at") + 1).alias("nth"), "text")
 
 
 @query
@@ -424,12 +444,17 @@ def artifact_info(spark, sf):
 
 
 def _bundle(spark, sf):
-    return artifacts.bundle(_rules(spark, sf), _counted(spark, sf), _lists(spark, sf), UPDATED)
+    lines = _lines(spark, sf)
+    found = stored(rules.first_seen(lines), "rules")
+    counted = stored(rules.counts(found, lines), "counts")
+    placed = stored(trie.laid_out(trie.nodes(rules.domains(found))), "nodes")
+    lists = counted.select("list_id", F.concat(F.lit(BASE), "list_id").alias("url"))
+    return artifacts.bundle(found, placed, counted, lists, UPDATED)
 
 
 @query
 def bundle_manifest(spark, sf):
-    return artifacts.manifest(_bundle(spark, sf)).where("entry <> 'info.json'")
+    return artifacts.manifest(_bundle(spark, sf))
 
 
 @query
@@ -446,10 +471,10 @@ def publish_artifacts(spark, sf):
 
 @query
 def unpublish(spark, sf):
-    folder, left = shared_folder(spark, "artifacts"), shared_folder(spark, "left")
+    folder = shared_folder(spark, "artifacts")
     artifacts.publish(_bundle(spark, sf), folder)
-    artifacts.unpublish(spark, folder, left, _lists(spark, sf).where("list_id = 'list_0'"))
-    return artifacts.manifest(artifacts.published(spark, left))
+    artifacts.unpublish(spark, folder, ["list_0"])
+    return artifacts.manifest(artifacts.published(spark, folder))
 
 
 @query

@@ -23,6 +23,14 @@ select concat('list_', l_suppkey % 8) as list_id, l_orderkey * 10 + l_linenumber
 from (select *, concat('p', l_partkey % 200, '.s', l_suppkey, '.example.com') as h from {lineitem}) x
 """
 
+#: With a list of comments alone and one with a line that is too long.
+LANDED_LINES = f"""
+select list_id, line_no, raw from ({FILTER_LINES}) y
+union all select 'list_bare', l_orderkey * 10, concat('! only note ', l_partkey) from {{lineitem}} where l_linenumber = 1 and l_orderkey % 50 = 0
+union all select 'list_long', l_orderkey * 10, concat('||l', l_partkey, '.example.com^') from {{lineitem}} where l_linenumber = 1 and l_orderkey % 50 = 1
+union all select 'list_long', 0, repeat('x', 1048576) from {{lineitem}} where l_linenumber = 1 and l_orderkey = (select min(l_orderkey) from {{lineitem}})
+"""
+
 DNS_QUERIES = """
 select event_id as query_id, ts,
   concat('q', event_id % 3, '.p', cast(regexp_extract(props, '([0-9]+)', 1) as int) % 200,
@@ -45,7 +53,15 @@ select page_id, url, page_id % 7 <> 0 as head_ok, case when page_id % 11 = 0 the
   case page_id % 5 when 0 then html
     when 1 then concat('! Title: t', chr(10), '||a.com^')
     when 2 then concat('a.com', chr(10), chr(10), 'b.com', chr(10), 'c.com')
-    when 3 then concat('a.com', chr(10), 'b.com') else '' end as body_text
+    when 3 then concat('a.com', chr(10), 'b.com')
+    else case page_id % 20 when 9 then concat(repeat('é', 8191), 'x€', chr(10), '||a.com^') when 14 then concat('||a.com^', chr(10), repeat('é', 9000)) else '' end end as body_text
+from {pages}
+"""
+
+#: Web addresses, some of them malformed or without a scheme.
+URLS = """
+select page_id, case page_id % 9 when 1 then concat(url, '/%zz') when 3 then regexp_replace(url, '^https?:', '') when 5 then replace(url, '.example.', '.example:port.')
+  when 7 then concat(url, '/raw/Some List@2.TXT') when 8 then concat('list ', url) else url end as url
 from {pages}
 """
 
@@ -64,6 +80,15 @@ def filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILTER_LINES, lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LANDED_LINES, lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url."""
+    return spark.sql(URLS, pages=read(spark, sf_dir, "pages"))
+
+
 def dns_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, ts, qname."""
     return spark.sql(DNS_QUERIES, events=read(spark, sf_dir, "events"))

@@ -1,4 +1,4 @@
-"""Reading landed list files as lines."""
+"""Reading and landing list files as lines."""
 
 from __future__ import annotations
 
@@ -11,14 +11,23 @@ LINES = "list_id string, line_no long, raw string"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """list_id (file name), line_no, raw of all text files in a folder.
+    """list_id, line_no, raw of all text files in a folder; a list is a file, or a subfolder `list_id=<id>` of files.
 
     line_no rises with a line's place in its file but skips numbers: the file split's start in the upper bits and the
     reader's own count below it. A carriage return at a line's end is dropped.
     """
-    rows = spark.read.text(folder).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth"))
+    read = spark.read.option("pathGlobFilter", "*.txt")
+    rows, id_ = read.text(folder), F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
+    if "list_id" in rows.columns:
+        rows, id_ = read.schema("value string, list_id string").text(folder), F.col("list_id")
+    rows = rows.select("value", id_.alias("list_id"), "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth"))
     place = F.shiftleft("file_block_start", 20) + F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select(F.regexp_replace("file_name", r"\.[^.]*$", "").alias("list_id"), place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    return rows.select("list_id", place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("raw"))
+
+
+def land(lines: DataFrame, folder: str) -> None:
+    """Writes lines (list_id, raw) as text files, a subfolder for each list; more files of a list may follow."""
+    lines.select("list_id", F.col("raw").alias("value")).write.partitionBy("list_id").mode("append").text(folder)
 
 
 def too_long(lines: DataFrame) -> DataFrame:

@@ -2,45 +2,59 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, match, rules
+from ..operators import artifacts, catalog, match, rules, trie
 from ..sources import lists as S
+from ..sources.folders import stored
 
 
 def refresh(spark: SparkSession, landing: str, target: str, checkpoint: str, updated: str) -> None:
-    """Compiles every list that has landed since the last call and publishes its parts and counts; then stops.
-
-    Landed files hold list_id, line_no, raw. A batch compiles all its lists at once; a list without rules, or with a
-    line that is too long, gets the status `failed` and stops no other. A repeated batch overwrites its own lists.
+    """Compiles every list of which files have landed since the last call, publishes it and updates the catalog; then stops.
+
+    landing has a subfolder `list_id=<id>` of text files for each list. A batch names the lists it touches; these are
+    read whole from the folder, so a list that comes in several files or batches is compiled from all it has by then. A
+    list without rules, or with a line that is too long, gets the status `failed`, keeps its last artifacts and catalog
+    row, and stops no other. Each batch writes `runs` (list_id, status, stage, rule_count); where the catalog snapshot
+    cannot be written, its lists get a row of the stage `catalog` with the status `failed` and stay published. A repeated
+    batch overwrites its own artifacts, snapshot and runs.
     """
 
     def compile_(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        good = S.readable(batch)
-        found = rules.first_seen(good).persist()
-        ids = batch.select("list_id").distinct()
-        counted = rules.counts(found, ids)
+        ids = stored(batch.select(F.col("list_id").cast("string")).distinct(), "touched")
+        lines = S.scan(spark, landing).join(ids, "list_id", "left_semi")
+        found = stored(rules.first_seen(S.readable(lines)), "rules")
+        counted = stored(rules.counts(found, ids), "counts")
         named = ids.select("list_id", F.concat(F.lit("file:"), "list_id").alias("url"))
-        artifacts.publish(artifacts.bundle(found, counted, named, updated), f"{target}/artifacts")
-        status = F.when(F.col("domains") + F.col("cosmetic") + F.col("scriptlets") > 0, "ok").otherwise("failed")
-        counted.select("list_id", status.alias("status"), "rule_count", F.lit(batch_id).alias("run_id")).write.mode("overwrite").parquet(f"{target}/runs/run_id={batch_id}")
-        found.unpersist()
-        batch.unpersist()
-
-    stream = spark.readStream.schema(S.LINES).parquet(landing)
+        placed = stored(trie.laid_out(trie.nodes(rules.domains(found))), "nodes")
+        artifacts.publish(artifacts.bundle(found, placed, counted, named, updated), f"{target}/artifacts")
+        good = F.col("domains") + F.col("cosmetic") + F.col("scriptlets") > 0
+        run = counted.select("list_id", F.when(good, "ok").otherwise("failed").alias("status"), F.lit("compile").alias("stage"), "rule_count")
+        done = counted.where(good).join(artifacts.bundle_size(artifacts.published(spark, f"{target}/artifacts")), "list_id").join(named, "list_id")
+        link = F.concat(F.lit("artifacts/list_id="), "list_id")
+        rows = done.select(F.col("list_id").alias("name"), "url", link.alias("r2_download_link"), F.col("rule_count").cast("int").alias("rule_count"), "file_size", F.lit(batch_id).alias("seq"))
+        try:
+            catalog.write(catalog.upsert(catalog.current(spark, f"{target}/catalog", before=batch_id), rows, updated), f"{target}/catalog", batch_id)
+        except (PySparkException, Py4JJavaError):
+            run = run.unionAll(done.select("list_id", F.lit("failed"), F.lit("catalog"), "rule_count"))
+        run.write.mode("overwrite").parquet(f"{target}/runs/run_id={batch_id}")
+
+    stream = spark.readStream.schema("value string, list_id string").option("pathGlobFilter", "*.txt").text(landing)
     stream.writeStream.foreachBatch(compile_).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def verdicts(stream: DataFrame, custom: DataFrame, security: DataFrame, ads: DataFrame, target: str, checkpoint: str) -> None:
+def verdicts(stream: DataFrame, custom: DataFrame, rules: DataFrame, target: str, checkpoint: str) -> None:
     """Writes the verdicts on all names that the stream (query_id, ts, qname) has now, then stops.
 
-    Each batch is joined with the rule tables as in the batch form; nothing is kept between batches. A repeated batch
-    overwrites its own rows.
+    Each batch is joined with the rule tables as in the batch form, which are stored once; nothing is kept between
+    batches. A repeated batch overwrites its own rows.
     """
+    custom, rules = stored(custom, "custom"), stored(rules, "sides")
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        match.verdicts(batch, custom, security, ads).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        match.verdicts(batch, custom, rules).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

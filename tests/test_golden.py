@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ NAMES = [
     ("https://easylist.to/easylist/easylist.txt", "easylist_easylist_easylist_d830652c"),
     ("https://cdn.jsdelivr.net/gh/hagezi/dns-blocklists@latest/adblock/pro.txt", "jsdelivr_dns_blocklistslatest_adblock_pro_a617b16b"),
     ("https://user.github.io/a.hosts.txt", "user_a_8663a722"), ("http://www.example.com:8080/", "example_1cf50185"), ("not a url", "filter"),
+    ("https://a.com/%zz", "filter"), ("https://a.com:port/x", "filter"), ("https://a b.com/x", "filter"), ("https://us er@a.com/x", "filter"), ("https://a.com/x#%4", "filter"), ("https:///x", "filter"), ("///a.com/x", "filter"),
+    ("https://a.com/x\x01", "filter"), ("https://a%41.com/", "filter"), ("mailto:a@b.com", "filter"), ("", "filter"),
 ]
 
 HASHES = [
@@ -55,10 +59,29 @@ def test_names(spark):
 
 
 def test_hashes(spark):
-    df = spark.createDataFrame([(h[0],) for h in HASHES], "x string").select("x", hashing.number(hashing.fnv1a(F.col("x"))).alias("a"), hashing.number(hashing.fnv1(F.col("x"))).alias("b"))
+    df = spark.createDataFrame([(h[0],) for h in HASHES], "x string").select("x", hashing.fnv(F.col("x")).alias("h")).select("x", hashing.number(F.col("h.a"), F.col("h.a_lo")).alias("a"), hashing.number(F.col("h.f"), F.col("h.f_lo")).alias("b"))
     assert sorted((r["x"], int(r["a"]), int(r["b"])) for r in df.collect()) == sorted(HASHES)
-    empty = spark.range(1).select(hashing.number(hashing.fnv1a(F.lit(""))).alias("a")).first()
-    assert int(empty["a"]) == 14695981039346656037
+    empty = spark.range(1).select(hashing.fnv(F.lit("")).alias("h")).first()["h"]
+    assert empty["a"] * 2**32 + empty["a_lo"] == empty["f"] * 2**32 + empty["f_lo"] == 14695981039346656037
+
+
+def fnv(name: str) -> tuple[int, int]:
+    a = f = 14695981039346656037
+    for b in name.encode():
+        a = (a ^ b) * 1099511628211 % 2**64
+        f = f * 1099511628211 % 2**64 ^ b
+    return a, f
+
+
+def test_hashes_and_positions_of_any_bytes(spark):
+    names = ["münchen.de", "日本.jp", "x" * 253, "a.b", "\x7f\x80ÿ.com"]
+    sizes = [8, 14377592, 2**31 + 8, 2**40 + 8, 2**46 + 8]
+    df = spark.createDataFrame([(n,) for n in names], "x string").select("x", hashing.fnv(F.col("x")).alias("h"))
+    found = df.select("x", "h", *(hashing.position(F.col("h"), F.lit(i), F.lit(m).cast("long")).alias(f"p{i}_{m}") for i in (0, 1, 9) for m in sizes)).collect()
+    for r in found:
+        a, f = fnv(r["x"])
+        assert (r["h"]["a"] * 2**32 + r["h"]["a_lo"], r["h"]["f"] * 2**32 + r["h"]["f_lo"]) == (a, f)
+        assert all(r[f"p{i}_{m}"] == (a + i * (f | 1)) % 2**64 % m for i in (0, 1, 9) for m in sizes)
 
 
 def test_sizes(spark):
@@ -76,13 +99,39 @@ def _bytes(parts) -> bytes:
 def test_trie_bytes(spark, part):
     for names, want in TRIES:
         domains = spark.createDataFrame([("l", n) for n in names], "list_id string, domain string")
-        assert _bytes(artifacts.trie_parts(domains, part)).hex() == want
+        assert _bytes(artifacts.trie_parts(trie.laid_out(trie.nodes(domains)), part)).hex() == want
 
 
-@pytest.mark.parametrize("part", [1 << 20, 3])
-def test_bloom_bytes(spark, part):
+def test_bloom_bytes(spark):
     domains = spark.createDataFrame([("l", n) for n in TRIES[0][0]], "list_id string, domain string")
-    assert _bytes(artifacts.bloom_parts(domains, part)).hex() == "424c4f4d0000000100000000000000200000000a00000000f5aa6a55"
+    assert _bytes(artifacts.bloom_parts(domains)).hex() == "424c4f4d0000000100000000000000200000000a00000000f5aa6a55"
+
+
+@pytest.mark.parametrize("blocks", [256, 1])
+def test_bloom_bytes_of_several_blocks(spark, blocks):
+    names = [f"n{k}.example.com" for k in range(5000)]
+    size = 8 * -(-math.ceil(-5000 * math.log(0.001) / math.log(2) ** 2) // 8)
+    want = bytearray(size // 8)
+    for n in names:
+        a, f = fnv(n)
+        for i in range(10):
+            at = (a + i * (f | 1)) % 2**64 % size
+            want[at // 8] |= 1 << at % 8
+    parts = artifacts.bloom_parts(spark.createDataFrame([("l", n) for n in names], "list_id string, domain string"), blocks)
+    assert _bytes(parts)[24:] == bytes(want) and parts.count() == (1 if blocks == 256 else 3)
+
+
+def test_parts_are_bounded_whatever_one_name_holds(spark):
+    """40,000 names under one, and as many scriptlet rules with one beginning."""
+    names = spark.range(40_000).select(F.lit("l").alias("list_id"), F.concat(F.lit("n"), "id", F.lit(".com")).alias("domain"))
+    placed = trie.laid_out(trie.nodes(names))
+    parts = artifacts.trie_parts(placed, 4096)
+    sizes = [len(r["content"]) for r in parts.select("content").collect()]
+    assert max(sizes) < 4096 + 300 and sum(sizes) == placed.agg(F.sum("n_bytes")).first()[0] + 16
+    texts = spark.range(40_000).select(F.lit("l").alias("list_id"), F.lit("scriptlet").alias("kind"), F.concat(F.lit("##+js("), "id", F.lit(")")).alias("text"))
+    parts = artifacts.scriptlet_parts(texts, 1000)
+    assert max(len(r["content"].splitlines()) for r in parts.select("content").collect()) <= 1000
+    assert _bytes(parts).decode().splitlines() == sorted(f"##+js({k})" for k in range(40_000))
 
 
 def test_offsets_follow_a_plain_walk(spark):
@@ -107,6 +156,21 @@ def test_format_bytes_and_trim(spark):
     assert spark.range(1).select(lines.trim(F.lit("  a b \t"))).first()[0] == "a b"
 
 
+@pytest.mark.parametrize("url, start", [("//host.com/x.txt", "host_x_"), ("https://me:pw@host.com:80/a%20b", "host_a_b_"), ("https://h.com:/x", "h_x_"), ("http://[::1]:80/l", "180_l_")])
+def test_names_from_the_host(spark, url, start):
+    import hashlib
+
+    name = spark.createDataFrame([(url,)], "url string").select(naming.derive_name(F.col("url")).alias("name")).first()["name"]
+    assert name == start + hashlib.sha256(url.encode()).hexdigest()[:8]
+
+
+def test_bodies_that_are_no_utf8(spark):
+    bodies = [b"\xff\xfe||a.com^", "é".encode() * 8191 + b"x" + "é".encode() + b"\n||a.com^", b"a.com\nb.com\n\x80c.com\n" + b"\xe2" * 20_000, b"||a.com^\n" + b"\xff" * 20_000, b"\xef\xbb\xbf<html>"]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body binary")
+    assert {r["k"]: r["is_list"] for r in validate.line_verdicts(df, "k").collect()} == {0: False, 1: False, 2: True, 3: True, 4: False}
+    assert not any(r["h"] for r in df.select(validate.is_html(F.col("body")).alias("h")).collect())
+
+
 def test_fetch_checks(spark):
     rows = [
         ("ftp://x", True, 200, "", True, 200, b"||a.com^", "scheme"), ("http://x", True, 404, "", True, 200, b"||a.com^", "head_status"), ("http://x", True, 200, "Text/HTML ; charset=x", True, 200, b"||a.com^", "content_type"),

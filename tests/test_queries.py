@@ -8,10 +8,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 
-from listloom.operators import catalog, increment, rules
+from listloom.operators import artifacts, catalog, increment, rules
 from listloom.plans import catalogue
 from listloom.sources import fixtures, lists
+from listloom.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -44,31 +46,61 @@ def test_probe_loses_no_match_and_lets_few_through(spark, sf_dir):
     assert catalogue.QUERIES["bloom_fp_rate"](spark, sf_dir).first()["rate"] < 0.005
 
 
-def test_stream_equals_batch(spark, sf_dir):
-    a, b = (catalogue.QUERIES[q](spark, sf_dir).toPandas() for q in ("stream_verdict", "dns_verdict"))
-    assert rows(a) == rows(b)
-
-
-def test_refresh_equals_batch(spark, sf_dir):
-    found = {r["list_id"]: (r["status"], r["rule_count"], r["file_size"]) for r in catalogue.QUERIES["refresh_lists"](spark, sf_dir).collect()}
-    sizes = {r["list_id"]: r["file_size"] for r in catalogue.QUERIES["bundle_size"](spark, sf_dir).collect()}
-    counts = {r["list_id"]: r["rule_count"] for r in catalogue.QUERIES["rule_counts"](spark, sf_dir).collect()}
-    assert {k: v[1] for k, v in found.items()} == counts and all(v[0] == "ok" for v in found.values())
-    # Only the links differ: a landed list is named by its file.
-    assert all(abs(found[k][2] - sizes[k]) < 40 for k in sizes)
-
-
-def test_publish_and_unpublish(spark, sf_dir):
-    out, left = (catalogue.QUERIES[q](spark, sf_dir).toPandas() for q in ("publish_artifacts", "unpublish"))
-    assert set(out.list_id) - set(left.list_id) == {"list_0"}
-    assert rows(out[out.list_id != "list_0"]) == rows(left)
-
-
-def test_artifact_sizes(spark, sf_dir):
-    manifest = {(r["list_id"], r["entry"]): r["n_bytes"] for r in catalogue.QUERIES["bundle_manifest"](spark, sf_dir).collect()}
-    for name, entry in (("artifact_trie", "trie"), ("artifact_bloom", "bloom")):
-        for r in catalogue.QUERIES[name](spark, sf_dir).collect():
-            assert r["part"] == 0 and len(r["content"]) == manifest[r["list_id"], entry]
+def test_every_query_has_sql():
+    assert catalogue.QUERIES.keys() == catalogue.ORACLE_SQL.keys()
+
+
+def test_refresh_takes_whole_lists_and_isolates_failures(spark, tmp_path, monkeypatch):
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    land = lambda rows: lists.land(spark.createDataFrame(rows, "list_id string, raw string"), landing)
+    runs = lambda n: {(r["list_id"], r["status"], r["stage"], r["rule_count"]) for r in spark.read.parquet(f"{target}/runs/run_id={n}").collect()}
+    rows_of = lambda: {r["name"]: (r["id"], r["rule_count"], r["file_size"]) for r in catalog.current(spark, f"{target}/catalog").collect()}
+    land([("001", "||a.com^"), ("b", "! no rule"), ("c", "x" * (1 << 20)), ("c", "||c.com^")])
+    live.refresh(spark, landing, target, state, catalogue.UPDATED)
+    assert runs(0) == {("001", "ok", "compile", 1), ("b", "failed", "compile", 0), ("c", "failed", "compile", 0)}
+    first = rows_of()
+    assert first.keys() == {"001"}
+    # Later files of a list are compiled with its earlier ones; other lists keep what they have.
+    land([("001", "||b.com^"), ("d", "||d.com^"), ("d", "##.ad")])
+    live.refresh(spark, landing, target, state, catalogue.UPDATED)
+    assert runs(1) == {("001", "ok", "compile", 2), ("d", "ok", "compile", 1)}
+    second = rows_of()
+    assert second["001"][0] == first["001"][0] and second["001"][1] == 2 and second["d"][1] == 1
+    sizes = {r["list_id"]: r["file_size"] for r in artifacts.bundle_size(artifacts.published(spark, f"{target}/artifacts")).collect()}
+    assert sizes == {k: v[2] for k, v in second.items()}
+
+    def broken(*_):
+        raise AnalysisException("no catalog")
+
+    # A catalog that can't be written stops nothing and is no failure of the run.
+    monkeypatch.setattr(catalog, "write", broken)
+    land([("d", "||e.com^")])
+    live.refresh(spark, landing, target, state, catalogue.UPDATED)
+    assert runs(2) == {("d", "ok", "compile", 2), ("d", "failed", "catalog", 2)}
+    summary = catalog.run_summary(spark.read.parquet(f"{target}/runs")).collect()
+    assert {r["run_id"]: (r["succeeded"], r["failed"]) for r in summary} == {0: (1, 2), 1: (2, 0), 2: (2, 0)}
+
+
+def test_unpublish_leaves_other_files_untouched(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    parts = spark.createDataFrame([("x/y", "css", 0, b"1"), ("z", "css", 0, b"2")], "list_id string, entry string, part long, content binary")
+    artifacts.publish(parts, folder)
+    before = {p: p.stat().st_mtime_ns for p in Path(folder).glob("list_id=z/*.parquet")}
+    artifacts.unpublish(spark, folder, ["x/y", "nowhere"])
+    assert [r["list_id"] for r in artifacts.published(spark, folder).collect()] == ["z"]
+    assert before and before == {p: p.stat().st_mtime_ns for p in Path(folder).glob("list_id=z/*.parquet")}
+
+
+def test_catalog_snapshots(spark, tmp_path, sf_dir):
+    folder = str(tmp_path / "catalog")
+    assert catalog.current(spark, folder).count() == 0
+    rows_ = fixtures.filter_lists(spark, sf_dir)
+    catalog.write(rows_, folder, 3)
+    catalog.write(rows_.limit(2), folder, 10)
+    catalog.write(rows_.limit(1), folder, 10)
+    assert catalog.current(spark, folder).count() == 1
+    assert rows(catalog.current(spark, folder, before=10).toPandas()) == rows(rows_.toPandas())
+    assert catalog.current(spark, folder, before=3).count() == 0
 
 
 def test_upsert_twice_is_once_and_last_row_counts(spark, sf_dir):
