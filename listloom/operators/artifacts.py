@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.folders import remove
 from . import bloom, trie
 from .rules import domains
 
@@ -121,8 +122,6 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 
 def unpublish(spark: SparkSession, folder: str, list_ids: list[str]) -> None:
     """Removes the parts of some lists; what else is in the folder stays untouched. Unknown lists do no harm."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for name in list_ids:
-        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/list_id={escaped}")
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, f"{folder}/list_id={escape(name)}")
