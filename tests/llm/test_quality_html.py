@@ -20,6 +20,51 @@ def test_quality_of_odd_rows(spark, odd, empty, write_tables):
     assert {r["score"] for r in quality.op1_quality(spark, write_tables(odd, labels=none)).collect()} == {0.5}
 
 
+def plain_contexts(texts, common):
+    """Words and context vectors with a regular expression and dictionaries."""
+    import re
+    from collections import Counter, defaultdict
+
+    import numpy as np
+
+    from listloom.llm import kernels as K
+
+    def word(w):
+        b = np.frombuffer("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).encode(), np.uint8)
+        up, low = sum("A" <= c <= "Z" for c in w), sum("a" <= c <= "z" for c in w)
+        n = len(w.encode())
+        shape = 3 if re.fullmatch("[0-9]+", w) else 4 if not re.search("[A-Za-z\x80-\U0010ffff]", w) else 2 if up and not low and n > 1 else int(up > 0)
+        h = K.mix(K.span_hashes(b, np.array([0]), np.array([len(b)])) ^ np.uint64(shape))[0]
+        return int(h), shape * quality.LENGTHS + min(n, quality.LENGTHS) - 1
+
+    docs = [[word(w) for w in re.findall("[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z\x80-\U0010ffff0-9 \t-\r]+", t or "")] for t in texts]
+    counts = Counter(h for d in docs for h, _ in d)
+    vocabulary = sorted(h for h, n in counts.items() if n * common >= sum(counts.values()))
+    row = {h: k for k, h in enumerate(vocabulary)}
+    place, sign = quality.index_vectors(np.array(vocabulary, np.uint64))
+    sums = defaultdict(lambda: np.zeros(quality.DIM))
+    for d in docs:
+        rows = [row.get(h, len(vocabulary) + s) for h, s in d]
+        for a, b in [*zip(rows, rows[1:], strict=False), *zip(rows[1:], rows, strict=False)]:
+            for c in range(2):
+                sums[a][place[c][b]] += sign[c][b]
+    out = np.zeros((len(vocabulary) + quality.SHARED, quality.DIM))
+    for a, x in sums.items():
+        out[a] = x / np.linalg.norm(x) if x.any() else x
+    return vocabulary, out
+
+
+def test_contexts_equal_a_plain_count(spark, odd, documents, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "HELD", 300)
+    texts = [r["text"] for r in odd.collect()] + documents.text.tolist()[:60]
+    found = quality.contexts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 400)
+    vocabulary, matrix = plain_contexts(texts, 400)
+    assert found.vocabulary.words.tolist() == vocabulary and 10 < len(vocabulary) <= 400
+    assert np.allclose(found.matrix, matrix, atol=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li>Home</li></ul></nav><div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Side text that is long enough to count as text</p></div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b>er &lt;p&gt; text<br>line<p>Second&nbsp;par <a class="ad" href="x">buy</a><div class="ad">Ad</div><form><input>Name</form>
