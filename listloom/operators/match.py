@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,10 @@ def matched_rule(queries: DataFrame, domains: DataFrame) -> DataFrame:
     return met.groupBy("qname").agg(F.min_by("suffix", "labels").alias("rule"), F.count("*").alias("n_rules"))
 
 
-def sides(security: DataFrame, ads: DataFrame) -> DataFrame:
-    """suffix, sec, ad: the domains of the security and of the ad lists, once each."""
-    both = security.select(F.col("domain").alias("suffix"), F.lit(True).alias("sec")).unionAll(ads.select("domain", F.lit(False)))
-    return both.groupBy("suffix").agg(F.bool_or("sec").alias("sec"), F.bool_or(~F.col("sec")).alias("ad"))
+def sides(domains: DataFrame, security: Column) -> DataFrame:
+    """suffix, sec, ad: each domain once, and whether a security list (rows where `security` holds) or another has it."""
+    each = domains.select(F.col("domain").alias("suffix"), security.alias("sec"))
+    return each.groupBy("suffix").agg(F.bool_or("sec").alias("sec"), F.bool_or(~F.col("sec")).alias("ad"))
 
 
 def verdicts(queries: DataFrame, custom: DataFrame, rules: DataFrame) -> DataFrame:

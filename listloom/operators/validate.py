@@ -51,12 +51,12 @@ def status_error(log: DataFrame) -> Column:
 
 def checked(log: DataFrame) -> DataFrame:
     """log with `problem`: the first check that fails in the order of a fetch, or null."""
-    rows = F.transform(F.slice(F.split(window(F.col("body")), "\r?\n"), 1, LINES), L.trim)
-    listed = F.exists(rows, L.is_signature) | (F.size(F.filter(rows, L.looks_like_domain)) >= PLAIN)
+    log = L.once(log, "_lines", F.transform(F.slice(F.split(window(F.col("body")), "\r?\n"), 1, LINES), L.trim))
+    listed = F.exists("_lines", L.is_signature) | (F.size(F.filter("_lines", L.looks_like_domain)) >= PLAIN)
     problem = (
         F.when(~has_scheme(F.col("url")), "scheme").when(F.col("head_ok") & (F.col("head_status") >= 400), "head_status")
         .when(F.col("head_ok") & bad_type(F.col("content_type")), "content_type").when(~F.col("get_ok"), "unreachable")
         .when(F.col("get_status") >= 400, "get_status").when(F.octet_length("body") == 0, "empty")
         .when(is_html(F.col("body")), "html").when(~listed, "syntax")
     )
-    return log.withColumn("problem", problem)
+    return log.withColumn("problem", problem).drop("_lines")

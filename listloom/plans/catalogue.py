@@ -247,6 +247,10 @@ def _sides(spark, sf):
     return one, domains.where(~F.col("list_id").isin(*SECURITY)).select("domain").distinct()
 
 
+def _matched(spark, sf):
+    return match.sides(_domains(spark, sf), F.col("list_id").isin(*SECURITY))
+
+
 def _custom(spark, sf):
     named = X.dns_queries(spark, sf).where("query_id % 97 = 0")
     return named.groupBy("qname").agg((F.min("query_id") % 2).cast("int").alias("action"))
@@ -254,7 +258,7 @@ def _custom(spark, sf):
 
 @query
 def dns_verdict(spark, sf):
-    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), match.sides(*_sides(spark, sf)))
+    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), _matched(spark, sf))
 
 
 @query
@@ -265,7 +269,7 @@ def stream_verdict(spark, sf):
     landed, target, state = (shared_folder(spark, f"verdict-{x}") for x in ("landed", "out", "state"))
     names = X.dns_queries(spark, sf)
     names.write.parquet(landed)
-    live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), match.sides(*_sides(spark, sf)), target, state)
+    live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), _matched(spark, sf), target, state)
     return spark.read.parquet(target).select("query_id", "ts", "qname", "verdict")
 
 
