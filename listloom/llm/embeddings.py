@@ -40,6 +40,8 @@ RECALL = 0.998
 REGION = 4096
 #: Members, and visitors, of one tile of a region at most (on average).
 TILE = 8192
+#: Vectors whose distances to all codes a task holds at once.
+STEP = 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -76,6 +78,11 @@ class MultiIndex:
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return distances(x[:, : self.half], self.codes[0]), distances(x[:, self.half :], self.codes[1])
 
+    def pair_sums(self, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The sum of the squared distances of each row to a pair of centroids, as `parts` has them."""
+        d, e = x[:, : self.half] - self.codes[0][one], x[:, self.half :] - self.codes[1][two]
+        return (d * d).sum(axis=1) + (e * e).sum(axis=1)
+
     def cells(self, d: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return d[0].argmin(axis=1) * len(self.codes[1]) + d[1].argmin(axis=1)
 
@@ -277,19 +284,22 @@ def links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
         count, forest = np.zeros(len(names), np.int64), _Forest(len(names))
         if len(member) and len(visitor):
             at = np.searchsorted(names, rep)
-            d = index.parts(x)
-            cell, last = index.cells(d), np.concatenate([index.visits((a, b))[1] for a, b in zip(*(np.array_split(y, len(x) // 1024 + 1) for y in d), strict=True)])
+            cell, last = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for some in np.array_split(np.arange(len(x)), len(x) // STEP + 1):
+                d = index.parts(x[some])
+                cell[some], last[some] = index.cells(d), index.visits(d)[1]
             member = member[np.argsort(cell[member], kind="stable")]
             cells, first = np.unique(cell[member], return_index=True)
             filed = np.split(member, first[1:])
-            for some in np.array_split(visitor, len(visitor) * len(cells) // 4_000_000 + 1):
-                met = d[0][some][:, cells // m] + d[1][some][:, cells % m] <= last[some][:, None]
+            for some in np.array_split(visitor, len(visitor) // STEP + 1):
+                d = index.parts(x[some])
+                met = d[0][:, cells // m] + d[1][:, cells % m] <= last[some][:, None]
                 for k, own in enumerate(filed):
                     who = some[met[:, k]]
                     a, b = np.nonzero(x[who] @ x[own].T >= threshold)
                     a, b = who[a], own[b]
                     # Where each visits the other's cell, the pair counts when the one with the smaller id visits.
-                    back = d[0][b, cell[a] // m] + d[1][b, cell[a] % m] <= last[b]
+                    back = index.pair_sums(x[b], cell[a] // m, cell[a] % m) <= last[b]
                     once = (rep[a] != rep[b]) & (~back | (rep[a] < rep[b]))
                     a, b = a[once], b[once]
                     np.add.at(count, at[a], n[b])
