@@ -9,7 +9,8 @@ input, not on what is left.
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, unchanged. Null and empty texts have no words and keep an empty
 text; documents of fewer than `length` words lose nothing. Rows that repeat a doc_id count as one document and each
-gives its own row; a null doc_id counts as larger than all others. Very long texts are read whole, in one chunk.
+gives its own row; a null doc_id counts as larger than all others; both spread over the chunks by their text and the
+piece of the file they stand in. Very long texts are read whole, in one chunk.
 Other columns play no part. An empty table gives an empty table.
 """
 
@@ -27,6 +28,7 @@ from .frames import table
 LENGTH = 13
 BASE = 4
 _LAST = np.dtype([("a", np.uint64), ("b", np.uint32), ("doc", np.int64)])
+_LAST_KIND = X.quotient(_LAST)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -55,15 +57,15 @@ class _Chunk:
     def whole(self, length: int) -> np.ndarray:
         return K.whole_windows(self.owner, length)
 
-    def repeats(self, length: int, answered: np.ndarray, buckets: int) -> np.ndarray:
+    def repeats(self, length: int, answered: np.ndarray, plan: X.Plan) -> np.ndarray:
         """Which windows occur in another chunk (as answered) or in two documents of this one; a superset."""
-        keys, whole = X.low_keys(self.windows(length), buckets), self.whole(length)
+        keys, whole = X.low_keys(self.windows(length), plan), self.whole(length)
         local = X.several(keys[whole], self.doc[: len(keys)][whole])
         return whole & (X.among(keys, answered) | X.among(keys, local))
 
-    def candidates(self, length: int, below: int, answered: np.ndarray, buckets: int) -> np.ndarray:
+    def candidates(self, length: int, below: int, answered: np.ndarray, plan: X.Plan) -> np.ndarray:
         """Which windows of `length` words have both their first and last `below` words repeated."""
-        good, n = self.repeats(below, answered, buckets), len(self.words) - length + 1
+        good, n = self.repeats(below, answered, plan), len(self.words) - length + 1
         if n <= 0:
             return np.zeros(0, bool)
         both = good[:n] & good[length - below : length - below + n]
@@ -72,34 +74,28 @@ class _Chunk:
         return both & self.whole(length)
 
 
-def _last(chunk: int, c: _Chunk, candidates: np.ndarray, length: int, buckets: int) -> pa.Table:
+def _last(chunk: int, c: _Chunk, candidates: np.ndarray, length: int, plan: X.Plan) -> pa.Table:
     """The distinct windows of a chunk with the smallest doc_id that has each."""
     where = np.flatnonzero(candidates)
     a, b, doc = c.windows(length)[where], (c.windows(length, 1)[where] >> K.U64(32)).astype(np.uint32), c.doc[where]
-    bucket = a % K.U64(buckets)
-    order = np.lexsort((doc, b, a, bucket))
-    a, b, doc, bucket = a[order], b[order], doc[order], bucket[order]
+    order = np.lexsort((doc, b, a))
+    a, b, doc = a[order], b[order], doc[order]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     rows = np.zeros(int(first.sum()), _LAST)
     rows["a"], rows["b"], rows["doc"] = a[first], b[first], doc[first]
-    return X.packed(chunk, bucket[first], rows)
+    return X.sent(chunk, rows, _LAST_KIND, plan)
 
 
-def _older(sent: DataFrame) -> DataFrame:
-    """Answers to each chunk: its windows that another chunk has in a document with a smaller doc_id."""
-
-    def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        values, row, chunks = X.joined(rows, _LAST)
-        order = np.lexsort((values["doc"], values["b"], values["a"]))
-        v = values[order]
-        first = np.ones(len(v), bool)
-        first[1:] = (v["a"][1:] != v["a"][:-1]) | (v["b"][1:] != v["b"][:-1])
-        least = v["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
-        keep = np.sort(order[v["doc"] > least])
-        return X.answers(key[0].as_py(), chunks, row[keep], values["a"][keep])
-
-    return sent.groupBy("bucket").applyInArrow(answer, X.SENT)
+def _older(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that another chunk has in a document with a smaller doc_id."""
+    order = np.lexsort((values["doc"], values["b"], values["a"]))
+    v = values[order]
+    first = np.ones(len(v), bool)
+    first[1:] = (v["a"][1:] != v["a"][:-1]) | (v["b"][1:] != v["b"][:-1])
+    least = v["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
+    keep = np.sort(order[v["doc"] > least])
+    return keep, values["a"][keep]
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
@@ -110,33 +106,32 @@ def dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
 
     The chunks' texts are shuffled once and read again at each level; only packed hashes move between levels.
     """
-    chunks, n = X.chunked(docs)
+    chunks, plan = X.chunked(docs)
     steps = levels(length, base)
     by_chunk = chunks.groupBy("chunk")
 
     def first(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         c = _Chunk(rows)
         if len(steps) == 1:
-            return _last(key[0].as_py(), c, c.whole(length), length, n)
-        return X.send_low(key[0].as_py(), X.low_keys(c.windows(steps[0])[c.whole(steps[0])], n))
+            return _last(key[0].as_py(), c, c.whole(length), length, plan)
+        return X.sent(key[0].as_py(), np.unique(X.low_keys(c.windows(steps[0])[c.whole(steps[0])], plan)), X.LOW_KIND, plan)
 
     sent = by_chunk.applyInArrow(first, X.SENT)
     for below, step in zip(steps[:-1], steps[1:], strict=True):
 
         def extend(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table, below=below, step=step) -> pa.Table:
             c = _Chunk(rows)
-            good = c.candidates(step, below, X.received_low(answered), n)
+            good = c.candidates(step, below, X.received(answered, X.LOW_KIND, plan), plan)
             if step == length:
-                return _last(key[0].as_py(), c, good, length, n)
-            return X.send_low(key[0].as_py(), X.low_keys(c.windows(step)[good], n))
+                return _last(key[0].as_py(), c, good, length, plan)
+            return X.sent(key[0].as_py(), np.unique(X.low_keys(c.windows(step)[good], plan)), X.LOW_KIND, plan)
 
-        sent = by_chunk.cogroup(X.shared(sent).groupBy("chunk")).applyInArrow(_three(extend), X.SENT)
+        sent = by_chunk.cogroup(X.shared(sent, plan).groupBy("chunk")).applyInArrow(_three(extend), X.SENT)
 
     def remove(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table) -> pa.Table:
         c = _Chunk(rows)
         a, whole = c.windows(length), c.whole(length)
-        parts = [X.unpack(h, np.uint64) for h in answered.column("hashes").to_pylist()]
-        older = X.among(a, np.sort(np.concatenate(parts))) if parts else np.zeros(len(a), bool)
+        older = X.among(a, X.received(answered, X.HASH_KIND, plan))
         order = np.lexsort((c.doc[: len(a)], a))
         new = np.ones(len(a), bool)
         new[1:] = a[order][1:] != a[order][:-1]
@@ -160,7 +155,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(cuts), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return by_chunk.cogroup(_older(sent).groupBy("chunk")).applyInArrow(remove, KEPT)
+    return by_chunk.cogroup(X.exchanged(sent, plan, _LAST_KIND, _older, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT)
 
 
 def _three(f):

@@ -14,9 +14,10 @@ Built over every byte this costs about 8 microseconds a byte, so it is built ove
 2. Contexts become short strings of symbols (the part before the anchor, then pieces of 64 bytes). Buckets of contexts
    are sorted by suffix array; equal neighbours are repeats with all their strings.
 3. Contexts that do not repeat as a whole (where a shared passage begins or ends) are checked exactly: their strings
-   are compared one by one, by 64-bit hashes, with each other and with those of one copy of each repeating context.
+   are compared one by one with each other and with those of one copy of each repeating context.
 
-Between documents only packed hashes move; each chunk sends a value once however often it has it. Texts are UTF-8 bytes;
+Between documents only packed hashes move; each chunk sends a value once however often it has it. Hashes decide: two
+contexts are equal if all their five 64-bit hashes are, two strings of one chunk by 128 bits, of two chunks by 88. Texts are UTF-8 bytes;
 matches never cross documents. Null and empty texts, and those shorter than LENGTH, lose nothing. Repeats within a
 document count, overlapping or not. Repeated rows are documents of their own. Very long texts are read whole, in one
 chunk. Other columns play no part. An empty table gives an empty table.
@@ -38,6 +39,8 @@ GRAM = 64
 #: Symbols of a context: what is before the anchor, and pieces of GRAM bytes from the anchor on.
 PIECES = 5
 _CONTEXT = np.dtype([("s", np.uint64, PIECES)])
+#: A string between chunks: 64 bits of one hash and 24 of another, which decide whether two strings are equal.
+_STRING = np.dtype([("a", np.uint64), ("b", np.uint32)])
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -142,8 +145,8 @@ class _Chunk:
         self.anchor = anchor[run]
         self.gram_hash = hashes[self.anchor]
 
-    def keys(self, buckets: int) -> np.ndarray:
-        return X.low_keys(self.gram_hash, buckets)
+    def keys(self, plan: X.Plan) -> np.ndarray:
+        return X.low_keys(self.gram_hash, plan)
 
     def symbols(self) -> np.ndarray:
         """The symbols of every context (rows)."""
@@ -162,14 +165,38 @@ class _Chunk:
         first, n = self.first[runs], self.last[runs] - self.first[runs] + 1
         return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
 
-    def string_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.sums.spans(starts, starts + self.length)
+    def string_hashes(self, starts: np.ndarray, which: int = 0) -> np.ndarray:
+        sums = self.sums if not which else K.byte_sums(self.data, which)
+        return sums.spans(starts, starts + self.length)
+
+    def repeated(self, starts: np.ndarray) -> np.ndarray:
+        """The strings that stand at two or more of these starts."""
+        starts = starts[twice(self.string_hashes(starts))]
+        return starts[twice_both(self.string_hashes(starts), self.string_hashes(starts, 1))] if len(starts) else starts
+
+    def sent_strings(self, starts: np.ndarray) -> np.ndarray:
+        """The distinct strings at these starts as they are sent."""
+        if not len(starts):
+            return np.zeros(0, _STRING)
+        a, b = self.string_hashes(starts), (self.string_hashes(starts, 1) >> np.uint64(40)).astype(np.uint32)
+        order = both_sorted(a, b)
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        out = np.zeros(int(new.sum()), _STRING)
+        out["a"], out["b"] = a[new], b[new]
+        return out
 
 
 #: Answers about contexts: 62 bits of the hash, and 0 once in the corpus, 1 repeats, 2 repeats and this chunk speaks for it.
 _CODE = np.uint64(3)
 
 
+_CONTEXT_KIND = X.Kind(_CONTEXT, lambda v, buckets: context_hashes(np.ascontiguousarray(v["s"]).reshape(-1, PIECES)) % np.uint64(buckets))
+_CODE_KIND = X.Kind(np.uint64)
+_STRING_KIND = X.quotient(_STRING)
+
+
 def context_hashes(symbols: np.ndarray) -> np.ndarray:
     h = np.zeros(len(symbols), np.uint64)
     for k in range(PIECES):
@@ -177,40 +204,58 @@ def context_hashes(symbols: np.ndarray) -> np.ndarray:
     return h & ~_CODE
 
 
-def twice(values: np.ndarray) -> np.ndarray:
-    """Which entries have an equal one."""
-    _, back, n = np.unique(values, return_inverse=True, return_counts=True)
-    return n[back] > 1
-
-
-def _sorted_contexts(sent: DataFrame) -> DataFrame:
-    """Answers to each chunk about all its contexts, from a suffix array of each bucket's contexts."""
+def both_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order by a, then b; that by a alone serves unless hashes a collide."""
+    order = np.argsort(a, kind="stable")
+    same = a[order][1:] == a[order][:-1]
+    return np.lexsort((b, a)) if (b[order][1:][same] != b[order][:-1][same]).any() else order
 
-    def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        values, row, chunks = X.joined(rows, _CONTEXT)
-        symbols = np.ascontiguousarray(values["s"]).reshape(-1, PIECES)
-        _, ranks = np.unique(symbols, return_inverse=True)
-        text = np.zeros((len(symbols), PIECES + 1), np.int64)  # a 0 ends each context
-        text[:, :PIECES] = ranks.reshape(symbols.shape) + 1
-        order = np.array(suffix_array(text.ravel()), np.int64)
-        order = order[order % (PIECES + 1) == 0] // (PIECES + 1)
-        same = (symbols[order][1:] == symbols[order][:-1]).all(axis=1)
-        group = np.concatenate(([0], np.cumsum(~same)))
-        size = np.bincount(group)
-        who = np.array(chunks)[row[order]]
-        least = np.full(len(size), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, who)
-        code = np.where(size[group] < 2, 0, np.where(who == least[group], 2, 1)).astype(np.uint64)
-        out = np.empty(len(symbols), np.uint64)
-        out[order] = context_hashes(symbols)[order] | code
-        return X.answers(key[0].as_py(), chunks, row, out)
 
-    return sent.groupBy("bucket").applyInArrow(answer, X.SENT)
+def _with_equal_neighbour(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    twin = np.zeros(len(order), bool)
+    twin[1:] |= same
+    twin[:-1] |= same
+    out = np.zeros(len(order), bool)
+    out[order] = twin
+    return out
 
 
-def _numbers(rows: pa.Table, notes: bool) -> np.ndarray:
-    parts = [X.unpack(h, np.uint64) for b, h in zip(rows.column("bucket").to_pylist(), rows.column("hashes").to_pylist(), strict=True) if (b < 0) == notes]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def twice(values: np.ndarray) -> np.ndarray:
+    """Which entries have an equal one."""
+    order = np.argsort(values, kind="stable")
+    return _with_equal_neighbour(order, values[order][1:] == values[order][:-1])
+
+
+def twice_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which entries have one that is equal in a and b."""
+    order = both_sorted(a, b)
+    return _with_equal_neighbour(order, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]))
+
+
+def _sorted_contexts(values: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each context of a bucket, from a suffix array of all of them."""
+    symbols = np.ascontiguousarray(values["s"]).reshape(-1, PIECES)
+    _, ranks = np.unique(symbols, return_inverse=True)
+    text = np.zeros((len(symbols), PIECES + 1), np.int64)  # a 0 ends each context
+    text[:, :PIECES] = ranks.reshape(symbols.shape) + 1
+    order = np.array(suffix_array(text.ravel()), np.int64)
+    order = order[order % (PIECES + 1) == 0] // (PIECES + 1)
+    same = (symbols[order][1:] == symbols[order][:-1]).all(axis=1)
+    group = np.concatenate(([0], np.cumsum(~same)))
+    size = np.bincount(group)
+    who = chunks[order]
+    least = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, who)
+    code = np.where(size[group] < 2, 0, np.where(who == least[group], 2, 1)).astype(np.uint64)
+    out = np.empty(len(symbols), np.uint64)
+    out[order] = context_hashes(symbols)[order] | code
+    return np.arange(len(symbols)), out
+
+
+def _shared_strings(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that another chunk has too."""
+    keep = np.flatnonzero(twice_both(np.ascontiguousarray(values["a"]), values["b"]))
+    return keep, values["a"][keep]
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, first array<long>, last array<long>, kept binary"
@@ -218,22 +263,18 @@ KEPT = "doc_id long, n_bytes long, n_removed long, first array<long>, last array
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, bytes, bytes removed, the removed runs (end exclusive) and the remaining bytes."""
-    chunks, n = X.chunked(docs)
+    chunks, plan = X.chunked(docs)
     by_chunk = chunks.groupBy("chunk")
 
     def anchors(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        return X.send_low(key[0].as_py(), _Chunk(rows, length).keys(n))
+        return X.sent(key[0].as_py(), np.unique(_Chunk(rows, length).keys(plan)), X.LOW_KIND, plan)
 
     def contexts(key, rows, answered):
         c = _Chunk(rows, length)
-        keys = c.keys(n)
-        symbols = c.symbols()[X.among(keys, X.received_low(answered)) | twice(keys)] if len(keys) else np.zeros((0, PIECES), np.uint64)
-        h = context_hashes(symbols)
-        _, first = np.unique(h, return_index=True)
-        bucket = h[first] % K.U64(n)
-        order = np.argsort(bucket, kind="stable")
-        values = np.ascontiguousarray(symbols[first][order]).view(_CONTEXT).ravel()
-        return X.packed(key[0].as_py(), bucket[order], values)
+        keys = c.keys(plan)
+        symbols = c.symbols()[X.among(keys, X.received(answered, X.LOW_KIND, plan)) | twice(keys)] if len(keys) else np.zeros((0, PIECES), np.uint64)
+        _, first = np.unique(context_hashes(symbols), return_index=True)
+        return X.sent(key[0].as_py(), np.ascontiguousarray(symbols[first]).view(_CONTEXT).ravel(), _CONTEXT_KIND, plan)
 
     def looked_up(c: _Chunk, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hash of every run's context, which have an answer, and the code in it."""
@@ -245,23 +286,20 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def strings(key, rows, answered):
         c, chunk = _Chunk(rows, length), key[0].as_py()
-        h, asked, code = looked_up(c, _numbers(answered, False))
+        h, asked, code = looked_up(c, X.received(answered, _CODE_KIND, plan))
         code = np.where(asked & (code == 0) & twice(h), np.uint64(2), code)
-        some = np.unique(c.string_hashes(c.strings(np.flatnonzero(asked & (code != 1))))) if asked.any() else np.zeros(0, np.uint64)
-        bucket = some % K.U64(n)
-        order = np.argsort(bucket, kind="stable")
-        note = X.pack(np.unique(h[asked] | code[asked]))
-        mine = pa.table({"chunk": pa.array([chunk], pa.int32()), "bucket": pa.array([-1 - chunk], pa.int32()), "hashes": pa.array([note], pa.binary())})
-        return pa.concat_tables([X.packed(chunk, bucket[order], some[order]), mine])
+        some = c.sent_strings(c.strings(np.flatnonzero(asked & (code != 1))) if asked.any() else np.zeros(0, np.int64))
+        return pa.concat_tables([X.sent(chunk, some, _STRING_KIND, plan), X.note(chunk, X.pack(np.unique(h[asked] | code[asked])))])
 
     def remove(key, rows, answered):
         c = _Chunk(rows, length)
         gone = np.zeros(len(c.data), bool)
         if len(c.first):
-            _, asked, code = looked_up(c, _numbers(answered, True))
+            told = X.notes(answered)
+            _, asked, code = looked_up(c, X.unpack(told[0], np.uint64) if told else np.zeros(0, np.uint64))
             single = c.strings(np.flatnonzero(asked & (code == 0)))
             near = c.strings(np.flatnonzero(twice(c.gram_hash)))  # equal strings of this chunk have equal anchors
-            starts = [c.strings(np.flatnonzero(asked & (code > 0))), single[X.among(c.string_hashes(single), _numbers(answered, False))], near[twice(c.string_hashes(near))]]
+            starts = [c.strings(np.flatnonzero(asked & (code > 0))), single[X.among(c.string_hashes(single), X.received(answered, X.HASH_KIND, plan))], c.repeated(near)]
             gone = K.covered(np.unique(np.concatenate(starts)), length, len(c.data))
         kept, firsts, lasts, removed = [], [], [], []
         for a, b in zip(c.at[:-1], c.at[1:], strict=True):
@@ -276,10 +314,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             "first": pa.array(firsts, pa.list_(pa.int64())), "last": pa.array(lasts, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()),
         })
 
-    asked = X.shared(by_chunk.applyInArrow(anchors, X.SENT))
+    asked = X.shared(by_chunk.applyInArrow(anchors, X.SENT), plan)
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(contexts, X.SENT)
-    sent = by_chunk.cogroup(_sorted_contexts(sent).groupBy("chunk")).applyInArrow(strings, X.SENT)
-    return by_chunk.cogroup(X.shared(sent, np.uint64).groupBy("chunk")).applyInArrow(remove, KEPT)
+    sent = by_chunk.cogroup(X.exchanged(sent, plan, _CONTEXT_KIND, _sorted_contexts, _CODE_KIND).groupBy("chunk")).applyInArrow(strings, X.SENT)
+    return by_chunk.cogroup(X.exchanged(sent, plan, _STRING_KIND, _shared_strings, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from listloom.llm import substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,9 +38,22 @@ def test_odd_rows(spark, odd, write_tables):
     assert found == brute([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
-def test_many_chunks_and_other_lengths(spark, documents, monkeypatch):
+def test_repeated_and_null_ids_spread_over_chunks(spark, documents, tmp_path):
+    from listloom.llm import exchange
+
+    rows = [(None if k % 2 else 5, t) for k, t in enumerate(documents.text[:160])] * 3
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    chunks, plan = exchange.chunked(docs, size=20_000)
+    sizes = [r["count"] for r in chunks.groupBy("chunk").count().collect()]
+    assert len(sizes) > 0.9 * plan.chunks > 20 and max(sizes) < 0.1 * len(rows)
+
+
+@pytest.mark.parametrize("most", [16_384, 5])
+def test_many_chunks_and_other_lengths(spark, documents, monkeypatch, most):
     from listloom.llm import exchange
 
+    monkeypatch.setattr(exchange, "MOST", most)  # 5: arrays go by routers
     monkeypatch.setattr(exchange.chunked, "__defaults__", ("doc_id", "text", 20_000))
     rows = list(zip(documents.doc_id.tolist(), documents.text, strict=True))[:120]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from listloom.llm import exchange, suffixes
 
@@ -40,7 +41,9 @@ def test_equals_brute_force(spark, sf_dir, documents):
     assert sum(r[2] for r in found) > 0
 
 
-def test_many_chunks_and_edges(spark, documents, monkeypatch):
+@pytest.mark.parametrize("most", [16_384, 5])
+def test_many_chunks_and_edges(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(exchange, "MOST", most)  # 5: arrays go by routers
     monkeypatch.setattr(exchange.chunked, "__defaults__", ("doc_id", "text", 9_000))
     rng = random.Random(6)
     passages = [t[:700] for t in documents.text[:6] if len(t) > 700]
