@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings, suffixes
+from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings, suffixes, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_word_bpe": wordbpe.op11_word_bpe,
 }
 
 _REACHED = """select node, min(other) as component_id from reached group by 1"""
