@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, html, langid, minhash, pii, quality, substrings, suffixes, wordbpe
+from . import bpe, centroids, decontaminate, embeddings, html, langid, merkle, minhash, pii, quality, substrings, suffixes, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_word_bpe": wordbpe.op11_word_bpe,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 _REACHED = """select node, min(other) as component_id from reached group by 1"""
@@ -60,4 +62,6 @@ ORACLE_SQL: dict[str, str] = {
         edged as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as new from judged)
         select doc_id, octet_length(b) as n_bytes, coalesce(n, 0) as n_removed, coalesce(m, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from bytes left join
         (select doc_id, count(*) filter (gone) as n, count(*) filter (new) as m, string_agg(digits, '' order by i) filter (not gone) as kept from edged group by 1) using (doc_id)""",
+    "op12_centroids": centroids.SQL,
+    "op13_merkle": merkle.SQL,
 }
