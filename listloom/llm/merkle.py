@@ -178,7 +178,7 @@ def _sql(depth: int = 7) -> str:
     tops = [up("u", k) for k in range(depth)] + [siblings("u", k) for k in range(depth)]
     tops += [f"q{k + 1} as materialized ({climb('u', k, 'q')})" for k in range(depth)]
     return f"""with d as materialized (select row_number() over () as rid, coalesce('=' || lang, '-') as tree, doc_id, {leaf("text")} as leaf,
-            case when {crc} % 3 = 0 then {leaf(low)} end as altered from documents),
+            case when doc_id is not null and {crc} % 3 = 0 then {leaf(low)} end as altered from documents),
         t0 as materialized (select tree, row_number() over (partition by tree order by doc_id nulls first, leaf, rid) - 1 as nr, leaf as h, 0 as deep, count(*) over (partition by tree) as m, rid from d),
         {", ".join(steps[:depth])}, high as (select tree, max(deep) as deep, any_value(h) as h from t{depth} group by 1), {", ".join(steps[depth:2 * depth])},
         p0 as materialized (select rid, tree, nr, '' as proof, coalesce(altered, leaf) as fold, high.deep from t0 join d using (rid, tree) join high using (tree)), {", ".join(steps[2 * depth:])},
