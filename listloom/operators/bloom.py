@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.lines import once
+from ..sources.folders import stored
 
 #: Target false-positive rate, used too where a rate is out of range.
 RATE = 0.001
 #: Bytes of a block: Spark's own bitmaps have this size.
 BLOCK = 4096
+#: Copies of a filter's blocks that names are dealt over, at least, and the hashes that each round of a probe asks for.
+SPREAD, ROUNDS = 64, ((0, 2), (2, 5), (5, 2**31 - 1))
 
 
 def bit_count(n: Column, rate: float = RATE) -> Column:
@@ -49,15 +52,21 @@ def positions(domains: DataFrame, params_: DataFrame) -> DataFrame:
 
 
 def blocks(positions_: DataFrame) -> DataFrame:
-    """list_id, block, bits: BLOCK bytes of a filter that aren't all zero, the lowest bit of each byte first."""
+    """list_id, block, bits: BLOCK bytes of a filter that aren't all zero, the lowest bit of each byte first.
+
+    Positions go to their block as they are: bitmaps of single tasks would be larger than the few bits that a task has for
+    one block.
+    """
     at = F.col("pos") + 1  # Spark counts bits of its bitmaps from 1
-    return positions_.groupBy("list_id", (F.bitmap_bucket_number(at) - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    put = positions_.select("list_id", (F.bitmap_bucket_number(at) - 1).alias("block"), F.bitmap_bit_position(at).alias("bit"))
+    return put.repartition("list_id", "block").groupBy("list_id", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def filter_bytes(positions_: DataFrame) -> DataFrame:
+def filter_bytes(blocks_: DataFrame) -> DataFrame:
     """list_id, byte_idx, byte_val of the bytes that are not zero; bit 0 of a byte is its lowest."""
-    bits = positions_.select("list_id", F.shiftright("pos", 3).alias("byte_idx"), F.expr("shiftleft(1, cast(pos & 7 as int))").alias("bit"))
-    return bits.groupBy("list_id", "byte_idx").agg(F.bit_or("bit").alias("byte_val"))
+    letters = F.split(F.decode("bits", "ISO-8859-1"), "")  # a letter for each byte
+    each = blocks_.select("list_id", "block", F.posexplode(letters).alias("at", "letter")).where(F.col("letter") != "\x00")
+    return each.select("list_id", (F.col("block") * BLOCK + F.col("at")).alias("byte_idx"), F.ascii("letter").alias("byte_val"))
 
 
 def merged(domains: DataFrame, name: str = "all") -> DataFrame:
@@ -65,10 +74,42 @@ def merged(domains: DataFrame, name: str = "all") -> DataFrame:
     return domains.select("domain").distinct().select(F.lit(name).alias("list_id"), "domain")
 
 
-def probe(names: DataFrame, bits: int, hashes: int, bytes_: DataFrame) -> DataFrame:
-    """name of the distinct names that one filter (its bit count, hash count and bytes) may hold: all its bits are set."""
-    each = hashed(names.select("name").distinct(), "name").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    bit = each.select("name", H.position(F.col("hash"), F.col("i"), F.lit(bits).cast("long")).alias("pos"))
-    met = bit.withColumn("byte_idx", F.shiftright("pos", 3)).join(bytes_.select("byte_idx", "byte_val"), "byte_idx")
-    hit = met.where(F.expr("shiftright(byte_val, cast(pos & 7 as int)) & 1 = 1"))
-    return hit.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") == hashes).select("name")
+def filters(domains: DataFrame, rate: float = RATE) -> tuple[DataFrame, DataFrame]:
+    """Sizes and blocks of each list's filter, stored, so that a plan over them knows how large they are."""
+    sizes = stored(params(domains, rate), "bloom-sizes")
+    return sizes, stored(blocks(positions(domains, sizes)), "bloom-blocks")
+
+
+def probe(pairs: DataFrame, sizes: DataFrame, blocks_: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """The pairs (list_id, name) for which that list's filter may hold the name: all its bits are set.
+
+    Bits are asked for in rounds, first two of a name, then three, then the rest; a name without one of them goes at once,
+    and half of all bits are set, so the later rounds see few names that a filter doesn't hold. A bit is tested inside the
+    row that meets its block. Where blocks are few enough they are broadcast by their stored size; where they are not, those
+    of a filter with less than `spread` blocks are repeated, and its names dealt over the copies.
+    """
+    sized = sizes.select("list_id", "bit_count", "hash_count", _copies(F.col("bit_count"), spread).alias("copies"))
+    left = hashed(pairs.select("list_id", "name").distinct(), "name").join(sized, "list_id")
+    every = blocks_.join(sized.select("list_id", "copies"), "list_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    for first, end in ROUNDS:
+        last = F.least(F.lit(end), F.col("hash_count"))
+        asked = F.when(last > first, F.transform(F.sequence(F.lit(first), F.greatest(last, F.lit(first + 1)) - 1), lambda i: H.position(F.col("hash"), i, F.col("bit_count"))))
+        each = left.withColumn("pos", F.explode_outer(asked)).withColumns({"block": F.floor(F.col("pos") / (8 * BLOCK)).cast("long"), "copy": F.pmod(F.col("hash")["a"], F.col("copies")).cast("int")})
+        met = each.join(every, ["list_id", "block", "copy"], "left")
+        at = F.pmod(F.col("pos"), F.lit(8 * BLOCK)).cast("int")
+        byte = F.ascii(F.decode(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        unset = F.col("pos").isNotNull() & (F.coalesce(F.call_function("getbit", byte.cast("long"), at.bitwiseAND(F.lit(7))), F.lit(0)) == 0)
+        judged = met.select("list_id", "name", "hash", "bit_count", "hash_count", "copies", unset.alias("unset"))
+        left = judged.groupBy("list_id", "name").agg(*(F.first(c).alias(c) for c in ("hash", "bit_count", "hash_count", "copies")), F.bool_or("unset").alias("unset")).where("not unset").drop("unset")
+    return left.select("list_id", "name")
+
+
+def _copies(bits: Column, spread: int) -> Column:
+    return F.greatest(F.floor(F.lit(spread) / F.ceil(bits / (8 * BLOCK))), F.lit(1)).cast("int")
+
+
+def suffixes(queries: DataFrame) -> DataFrame:
+    """qname, suffix: every distinct name with itself and all its parents, as they stand in it."""
+    names = queries.select("qname").distinct().withColumn("parts", F.split("qname", "[.]"))
+    each = names.select("qname", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("at"))
+    return each.select("qname", F.array_join(F.slice("parts", F.col("at"), F.size("parts")), ".").alias("suffix"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.folders import stored
+from .joins import running
 
 SCHEMA = "id long, name string, url string, r2_download_link string, rule_count int, file_size long, last_updated timestamp, created_at timestamp"
 COLUMNS = ["id", "name", "url", "r2_download_link", "rule_count", "file_size", "last_updated", "created_at"]
@@ -61,13 +61,9 @@ def upsert(catalog: DataFrame, batch: DataFrame, now: str) -> DataFrame:
     both = catalog.withColumn("old", F.lit(True)).join(last, "url", "full")
     known = both.where("old").select("id", *(F.coalesce(f"new.{c}", c).alias(c) for c in names), "url", F.when(F.col("new").isNotNull(), clock).otherwise(F.col("last_updated")).alias("last_updated"), "created_at")
     fresh = last.join(catalog.select("url"), "url", "left_anti").select("url", "new.*")
-    ranged = stored(fresh.repartitionByRange("url").withColumn("piece", F.spark_partition_id()), "upsert")
-    nth = F.row_number().over(Window.partitionBy("piece").orderBy("url"))
-    totals = ranged.groupBy("piece").agg(F.count("*").alias("n"))  # a row a range: no more than shuffle partitions
-    so_far = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select("piece", (F.sum("n").over(so_far) - F.col("n")).alias("before"))
+    placed = running(fresh, [], ["url"], {"nth": F.lit(1)}, "upsert")
     top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    added = ranged.withColumn("nth", nth).join(starts, "piece").select((F.lit(top) + F.col("before") + F.col("nth")).alias("id"), *names, "url", clock.alias("last_updated"), clock.alias("created_at"))
+    added = placed.select((F.lit(top) + F.col("nth") + 1).alias("id"), *names, "url", clock.alias("last_updated"), clock.alias("created_at"))
     return known.select(COLUMNS).unionAll(added.select(COLUMNS))
 
 

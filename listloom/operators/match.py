@@ -1,55 +1,114 @@
-"""Matching names against rules: a name is covered by a rule for itself or for any of its parent domains."""
+"""Matching names against rules along label paths.
+
+A rule and a name are both the labels from the top-level domain down, empty ones left out; a rule covers a name when its
+labels are the first ones of the name's. So `a.com.` is the rule `a.com`, and a rule without a label (`.`) covers every
+name, as the root of a trie does that is marked itself. Paths are compared by two rolling 64-bit hashes, one step a label.
+
+Distinct names are exploded into their paths; the paths are counted and meet the rules once each, and only those that hit
+go back to the names. Where many names share a path, or many rows a name, the join deals them over tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lines import once, reversed_labels
+from .joins import HOT, dealt
 
-def suffixes(queries: DataFrame) -> DataFrame:
-    """qname, suffix, labels: every distinct name with itself and all its parents. Names are matched once each."""
-    names = queries.select("qname").distinct().withColumn("parts", F.split("qname", "[.]"))
-    each = names.select("qname", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("at"))
-    tail = F.slice("parts", F.col("at"), F.size("parts"))
-    return each.select("qname", F.array_join(tail, ".").alias("suffix"), F.size(tail).alias("labels"))
+#: What a rule without a label is called.
+ROOT = "."
+_STEPS = "array<struct<a:bigint,b:bigint>>"
 
 
-def covered(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    """The distinct names that some rule covers."""
-    rules = domains.select(F.col("domain").alias("suffix")).distinct()
-    return suffixes(queries).join(rules, "suffix", "left_semi").select("qname").distinct()
+def label_paths(name: Column) -> Column:
+    """The hashes (a, b) of a name's first label, of its first two, and so on; empty for a name without a label."""
+    start = F.struct(F.array().cast(_STEPS).alias("all"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
+    def step(at: Column, label: Column) -> Column:
+        a, b = F.xxhash64(at["a"], label), F.xxhash64(label, at["b"])
+        return F.struct(F.concat(at["all"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("all"), a.alias("a"), b.alias("b"))
 
-def blocked(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    return queries.join(covered(queries, domains), "qname", "left_semi")
+    return F.aggregate(reversed_labels(name), start, step, lambda at: at["all"])
 
 
-def clean(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    return queries.join(covered(queries, domains), "qname", "left_anti")
+def canonical(name: Column) -> Column:
+    """A name without empty labels; ROOT for one without any."""
+    labels = F.filter(F.split(name, "[.]"), lambda x: x != "")
+    return F.when(F.size(labels) == 0, ROOT).otherwise(F.array_join(labels, "."))
 
 
-def matched_rule(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    """qname, rule, n_rules: the shortest covering rule, which a walk from the top-level domain meets first."""
-    rules = domains.select(F.col("domain").alias("suffix")).distinct()
-    met = suffixes(queries).join(rules, "suffix")
-    return met.groupBy("qname").agg(F.min_by("suffix", "labels").alias("rule"), F.count("*").alias("n_rules"))
+def rule_paths(domains: DataFrame, **flags: Column) -> DataFrame:
+    """a, b, depth, rule of every rule once, whatever dots it is written with; flags: whether any of its rows holds each."""
+    path = once(domains.withColumns({f"_f_{k}": v for k, v in flags.items()}), "_path", label_paths(F.col("domain")))
+    last = F.try_element_at("_path", F.lit(-1))
+    keyed = path.where("domain is not null").select(F.coalesce(last["a"], F.lit(0)).alias("a"), F.coalesce(last["b"], F.lit(0)).alias("b"), F.size("_path").alias("depth"), canonical(F.col("domain")).alias("rule"), *(F.col(f"_f_{k}").alias(k) for k in flags))
+    return keyed.groupBy("a", "b", "depth").agg(F.first("rule").alias("rule"), *(F.bool_or(k).alias(k) for k in flags))
 
 
 def sides(domains: DataFrame, security: Column) -> DataFrame:
-    """suffix, sec, ad: each domain once, and whether a security list (rows where `security` holds) or another has it."""
-    each = domains.select(F.col("domain").alias("suffix"), security.alias("sec"))
-    return each.groupBy("suffix").agg(F.bool_or("sec").alias("sec"), F.bool_or(~F.col("sec")).alias("ad"))
-
-
-def verdicts(queries: DataFrame, custom: DataFrame, rules: DataFrame) -> DataFrame:
-    """queries with a verdict: custom rule (0 allow, 1 block) before security list before ad list before forward.
-
-    custom: qname, action; rules: suffix, sec, ad. Names are exploded and matched once for both kinds of list.
-    """
-    hit = suffixes(queries).join(rules, "suffix").groupBy("qname").agg(F.bool_or("sec").alias("sec"), F.bool_or("ad").alias("ad"))
-    joined = queries.join(custom.select("qname", "action"), "qname", "left").join(hit, "qname", "left")
-    verdict = (
-        F.when(F.col("action") == 0, "allow_custom").when(F.col("action") == 1, "block_custom")
-        .when(F.col("sec"), "block_security").when(F.col("ad"), "block_ad").otherwise("forward")
-    )
-    return joined.withColumn("verdict", verdict).drop("action", "sec", "ad")
+    """Rule paths with sec and ad: whether a security list (rows where `security` holds) or another has the rule."""
+    return rule_paths(domains, sec=security, ad=~security)
+
+
+def _names(queries: DataFrame) -> DataFrame:
+    """qname, n and paths of every distinct name."""
+    counted = queries.where("qname is not null").groupBy("qname").agg(F.count("*").alias("n"))
+    return once(counted, "paths", label_paths(F.col("qname")))
+
+
+def _met(names: DataFrame, rules: DataFrame, most: int) -> DataFrame:
+    """qname and each rule below the root that covers it, with the rule's other columns."""
+    each = names.select("qname", F.explode("paths").alias("path")).select("qname", "path.a", "path.b")
+    reached = each.groupBy("a", "b").agg(F.count("*").alias("n"))
+    hits = reached.join(rules.where("depth > 0"), ["a", "b"])
+    return dealt(each, hits, ["a", "b"], "inner", most).drop("a", "b")
+
+
+def _rooted(names: DataFrame, rules: DataFrame, **columns: Column) -> DataFrame:
+    """names with columns of the root's rule, null where there is none; it is one row at most."""
+    root = rules.where("depth = 0").select(F.lit(0).alias("_top"), *(v.alias(k) for k, v in columns.items()))
+    return names.withColumn("_top", F.lit(0)).join(F.broadcast(root), "_top", "left").drop("_top")
+
+
+def covered(queries: DataFrame, rules: DataFrame, most: int = HOT) -> DataFrame:
+    """qname, n: the distinct names that some rule (of `rule_paths`) covers, and the rows of each."""
+    names = _names(queries)
+    met = _met(names, rules, most).select("qname").distinct().withColumn("hit", F.lit(True))
+    both = _rooted(names.select("qname", "n").join(met, "qname", "left"), rules, root=F.lit(True))
+    return both.where("hit or root").select("qname", "n")
+
+
+def blocked(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
+    return dealt(queries, covered(queries, rule_paths(domains), most), ["qname"], "left_semi", most)
+
+
+def clean(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
+    """Queries that no rule covers; a null name is covered by none."""
+    return dealt(queries, covered(queries, rule_paths(domains), most), ["qname"], "left_anti", most)
+
+
+def matched_rule(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
+    """qname, rule, n_rules: the shortest covering rule, which a walk from the top-level domain meets first, and how many
+    rules lie on the name's path."""
+    rules, names = rule_paths(domains), _names(queries)
+    met = _met(names, rules, most).groupBy("qname").agg(F.min_by("rule", "depth").alias("rule"), F.count("*").alias("n_rules"))
+    both = _rooted(names.select("qname").join(met, "qname", "left"), rules, root=F.lit(ROOT))
+    return both.select("qname", F.coalesce("root", "rule").alias("rule"), (F.coalesce("n_rules", F.lit(0)) + F.when(F.col("root").isNotNull(), 1).otherwise(0)).alias("n_rules")).where("n_rules > 0")
+
+
+def verdict(action: Column, sec: Column, ad: Column) -> Column:
+    """A custom rule (0 allow, 1 block) comes before a security list, this before another list, this before forward."""
+    return F.when(action == 0, "allow_custom").when(action == 1, "block_custom").when(sec, "block_security").when(ad, "block_ad").otherwise("forward")
+
+
+def verdicts(queries: DataFrame, custom: DataFrame, rules: DataFrame, most: int = HOT) -> DataFrame:
+    """queries with a verdict, worked out once a name. custom: qname, action; rules: of `sides`."""
+    names = _names(queries)
+    met = _met(names, rules, most).groupBy("qname").agg(F.bool_or("sec").alias("sec"), F.bool_or("ad").alias("ad"))
+    both = names.select("qname", "n").join(met, "qname", "left").join(custom.select("qname", "action"), "qname", "left")
+    both = _rooted(both, rules, root_sec=F.col("sec"), root_ad=F.col("ad"))
+    sec, ad = (F.coalesce(c, F.lit(False)) | F.coalesce(f"root_{c}", F.lit(False)) for c in ("sec", "ad"))
+    judged = both.select("qname", "n", verdict(F.col("action"), sec, ad).alias("verdict"))
+    out = dealt(queries, judged, ["qname"], "left", most)
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit("forward")))

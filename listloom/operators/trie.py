@@ -1,17 +1,16 @@
 """Reversed-label tries as tables: nodes, children, breadth-first order and byte offsets.
 
-Nodes of a list are ordered by (depth, path). No task sorts a whole list: the order is cut into slices (depth, first
-label, two characters of the second) that follow it, positions are counted within a slice, and the slices' totals give
-each slice its start.
+Nodes of a list are ordered by (depth, path). No task sorts a whole list, nor all that it has under one name: the order is
+cut into ranges of equal size, positions are counted within a range, and the ranges' totals give each its start.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.lines import reversed_labels
+from .joins import running
 
 #: Bytes before the first node.
 HEADER = 16
@@ -36,28 +35,11 @@ def children(nodes_: DataFrame) -> DataFrame:
     return up.groupBy("list_id", "path").agg(F.count("*").alias("child_count"), F.sum(F.octet_length("label") + 6).cast("long").alias("child_bytes"))
 
 
-def _sliced(df: DataFrame) -> DataFrame:
-    first, second = F.coalesce(F.get("path", F.lit(0)), F.lit("")), F.substring(F.coalesce(F.get("path", F.lit(1)), F.lit("")), 1, 2)
-    return df.withColumn("slice", F.struct(F.col("depth").alias("d"), first.alias("a"), second.alias("b")))
-
-
 def laid_out(nodes_: DataFrame) -> DataFrame:
     """Nodes with child_count, bfs_index (the root is 0), byte_offset in the serialised trie, and labels_before: the bytes
     of the child records of all nodes before, from which a child's place in its parent's record follows."""
     full = nodes_.join(children(nodes_), ["list_id", "path"], "left")
     own = F.when(F.col("depth") > 0, F.octet_length(F.try_element_at("path", F.lit(-1))) + 6).otherwise(0).cast("long")
-    full = _sliced(full.select(
-        "list_id", "path", "depth", "is_terminal", F.coalesce("child_count", F.lit(0)).alias("child_count"), (F.coalesce("child_bytes", F.lit(0)) + 5).alias("n_bytes"), own.alias("n_label"),
-    ))
-    inner = Window.partitionBy("list_id", "slice").orderBy("path")
-    so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = lambda c: F.sum(c).over(so_far) - F.col(c)
-    here = full.withColumn("nth", F.row_number().over(inner) - 1).withColumn("upto", before("n_bytes")).withColumn("labels_upto", before("n_label"))
-    totals = full.groupBy("list_id", "slice").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum("n_label").alias("labels"))
-    outer = Window.partitionBy("list_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = lambda c: F.sum(c).over(outer) - F.col(c)
-    starts = totals.select("list_id", "slice", ahead("n").alias("before"), ahead("bytes").alias("bytes_before"), ahead("labels").alias("l_before"))
-    return here.join(starts, ["list_id", "slice"]).select(
-        "list_id", "path", "depth", "is_terminal", "child_count", (F.col("before") + F.col("nth")).cast("long").alias("bfs_index"),
-        (F.col("bytes_before") + F.col("upto") + HEADER).cast("long").alias("byte_offset"), "n_bytes", (F.col("l_before") + F.col("labels_upto")).cast("long").alias("labels_before"),
-    )
+    full = full.select("list_id", "path", "depth", "is_terminal", F.coalesce("child_count", F.lit(0)).alias("child_count"), (F.coalesce("child_bytes", F.lit(0)) + 5).alias("n_bytes"), own.alias("n_label"))
+    placed = running(full, ["list_id"], ["depth", "path"], {"bfs_index": F.lit(1), "before": F.col("n_bytes"), "labels_before": F.col("n_label")}, "nodes")
+    return placed.select("list_id", "path", "depth", "is_terminal", "child_count", "bfs_index", (F.col("before") + HEADER).alias("byte_offset"), "n_bytes", "labels_before")

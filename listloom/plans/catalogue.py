@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import lines as L
 from ..functions import naming as N
-from ..operators import artifacts, bloom, catalog, increment, match, rules, trie, validate
+from ..operators import artifacts, bloom, catalog, increment, joins, match, rules, trie, validate
 from ..sources import fixtures as X
 from ..sources import lists as S
 from ..sources.folders import shared_folder, stored
@@ -196,49 +196,59 @@ def bloom_positions(spark, sf):
 @query
 def bloom_bytes(spark, sf):
     domains = _domains(spark, sf)
-    return bloom.filter_bytes(bloom.positions(domains, bloom.params(domains)))
+    return bloom.filter_bytes(bloom.blocks(bloom.positions(domains, bloom.params(domains))))
 
 
-def _probed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Suffixes of all names with whether the filter of all lists may hold them and whether a rule has them."""
-    merged = bloom.merged(_domains(spark, sf))
-    size = bloom.params(merged).first()
-    names = match.suffixes(X.dns_queries(spark, sf))
-    if size is None:
-        return names, names.select(F.col("suffix").alias("name")).limit(0)
-    bytes_ = bloom.filter_bytes(bloom.positions(merged, bloom.params(merged)))
-    return names, bloom.probe(names.select(F.col("suffix").alias("name")), size["bit_count"], size["hash_count"], bytes_)
+#: The lists of the fixture, and all of them as one.
+LISTS = (*(f"list_{k}" for k in range(8)), "all")
+
+
+def _probed(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules of each list, suffixes of all names with the names that have each, and the suffixes that a list's filter may hold."""
+    domains = stored(_domains(spark, sf), "domains")
+    domains = stored(domains.unionByName(bloom.merged(domains)), "domains")
+    names = bloom.suffixes(X.dns_queries(spark, sf))
+    counted = names.groupBy("suffix").agg(F.count("*").alias("n"))
+    pairs = counted.select(F.explode(F.array(*map(F.lit, LISTS))).alias("list_id"), F.col("suffix").alias("name"))
+    maybe = bloom.probe(pairs, *bloom.filters(domains)).select("list_id", F.col("name").alias("suffix"))
+    return domains, names, maybe.join(counted, "suffix")
 
 
 @query
 def bloom_probe(spark, sf):
-    """Names that the filter lets through: some suffix may be a rule."""
-    names, maybe = _probed(spark, sf)
-    return names.join(maybe.withColumnRenamed("name", "suffix"), "suffix", "left_semi").select("qname").distinct()
+    """Names that a list's filter lets through: some suffix may be a rule of the list."""
+    _, names, maybe = _probed(spark, sf)
+    return joins.dealt(names, maybe, ["suffix"]).select("list_id", "qname").distinct()
 
 
 @query
 def bloom_fp_rate(spark, sf):
-    """Distinct suffixes without a rule, and the share of them that the filter lets through."""
-    names, maybe = _probed(spark, sf)
-    clean = names.select("suffix").distinct().join(_domains(spark, sf).select(F.col("domain").alias("suffix")), "suffix", "left_anti")
-    flagged = clean.join(maybe.select(F.col("name").alias("suffix"), F.lit(1).alias("hit")), "suffix", "left")
-    return flagged.agg(F.count("*").alias("n_clean"), F.count("hit").alias("n_false"), (F.count("hit") / F.count("*")).alias("rate"))
+    """For each list the distinct suffixes that are no rule of it, and the share of them that its filter lets through."""
+    domains, names, maybe = _probed(spark, sf)
+    flags = maybe.select("list_id", "suffix", F.lit(True).alias("hit")).join(domains.select("list_id", F.col("domain").alias("suffix"), F.lit(True).alias("rule")), ["list_id", "suffix"], "left")
+    tally = flags.groupBy("list_id").agg(F.count("rule").alias("held"), (F.count("*") - F.count("rule")).alias("n_false"))
+    total = names.agg(F.count_distinct("suffix").alias("n")).select(F.explode(F.array(*map(F.lit, LISTS))).alias("list_id"), "n")
+    both = total.join(tally, "list_id", "left").na.fill(0)
+    return both.select("list_id", (F.col("n") - F.col("held")).alias("n_clean"), "n_false", (F.col("n_false") / (F.col("n") - F.col("held"))).alias("rate"))
+
+
+def _match_domains(spark, sf):
+    return rules.domains(rules.first_seen(X.match_lines(spark, sf)))
 
 
 @query
 def match_blocked(spark, sf):
-    return match.blocked(X.dns_queries(spark, sf), _domains(spark, sf))
+    return match.blocked(X.match_queries(spark, sf), _match_domains(spark, sf))
 
 
 @query
 def match_clean(spark, sf):
-    return match.clean(X.dns_queries(spark, sf), _domains(spark, sf))
+    return match.clean(X.match_queries(spark, sf), _match_domains(spark, sf))
 
 
 @query
 def match_rule(spark, sf):
-    return match.matched_rule(X.dns_queries(spark, sf), _domains(spark, sf))
+    return match.matched_rule(X.match_queries(spark, sf), _match_domains(spark, sf))
 
 
 def _sides(spark, sf):
@@ -248,17 +258,17 @@ def _sides(spark, sf):
 
 
 def _matched(spark, sf):
-    return match.sides(_domains(spark, sf), F.col("list_id").isin(*SECURITY))
+    return match.sides(_match_domains(spark, sf), F.col("list_id").isin(*SECURITY))
 
 
 def _custom(spark, sf):
-    named = X.dns_queries(spark, sf).where("query_id % 97 = 0")
+    named = X.match_queries(spark, sf).where("query_id % 97 = 0")
     return named.groupBy("qname").agg((F.min("query_id") % 2).cast("int").alias("action"))
 
 
 @query
 def dns_verdict(spark, sf):
-    return match.verdicts(X.dns_queries(spark, sf), _custom(spark, sf), _matched(spark, sf))
+    return match.verdicts(X.match_queries(spark, sf), _custom(spark, sf), _matched(spark, sf))
 
 
 @query
@@ -267,7 +277,7 @@ def stream_verdict(spark, sf):
     from ..streaming import live
 
     landed, target, state = (shared_folder(spark, f"verdict-{x}") for x in ("landed", "out", "state"))
-    names = X.dns_queries(spark, sf)
+    names = X.match_queries(spark, sf)
     names.write.parquet(landed)
     live.verdicts(spark.readStream.schema(names.schema).parquet(landed), _custom(spark, sf), _matched(spark, sf), target, state)
     return spark.read.parquet(target).select("query_id", "ts", "qname", "verdict")

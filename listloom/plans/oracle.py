@@ -16,7 +16,7 @@ _SKIPPED_PARTS = ("raw", "master", "main", "latest", "refs", "heads", "gh", "dow
 _TYPES = ("text/html", "application/json", "application/xml", "text/xml")
 _TYPE_STARTS = ("image/", "video/", "audio/", "application/zip", "application/pdf")
 
-_TABLES = {"lineitem": "lineitem", "events": "events", "pages": "pages"}
+_TABLES = {"lineitem": "lineitem", "events": "events", "pages": "pages", "supplier": "supplier"}
 _IP = "'^(0\\.0\\.0\\.0|127\\.0\\.0\\.1)[ \t]'"
 
 
@@ -74,8 +74,14 @@ WITH: dict[str, str] = {
         from (select *, unnest(range(0, 10)) as i from hashed join params using (list_id))""",
     "suffixes": """select qname, array_to_string(list_slice(parts, k, len(parts)), '.') as suffix, len(parts) - k + 1 as labels
         from (select qname, parts, unnest(range(1, len(parts) + 1)) as k from (select distinct qname, string_split(qname, '.') as parts from dns_queries))""",
-    "covered": "select distinct qname from suffixes where suffix in (select domain from domains)",
-    "custom": "select qname, cast(min_by(query_id, query_id) % 2 as int) as action from dns_queries where query_id % 97 = 0 group by qname",
+    "match_queries": X.MATCH_QUERIES.format(**_TABLES),
+    "match_trimmed": f"select list_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as line from ({X.MATCH_LINES.format(**_TABLES)})",
+    "match_rules": f"""select labels, bool_or(sec) as sec, bool_or(not sec) as ad from (select list_filter(list_reverse(string_split({_DOMAIN}, '.')), lambda x: x <> '') as labels,
+        list_id in ('list_0', 'list_1', 'list_2', 'list_3') as sec from match_trimmed where not {_COMMENT} and not {_SCRIPTLET} and {_DOMAIN} is not null) group by 1""",
+    "walked": """select qname, list_slice(labels, 1, k) as labels, k from (select qname, labels, unnest(range(0, len(labels) + 1)) as k from (
+        select distinct qname, list_filter(list_reverse(string_split(qname, '.')), lambda x: x <> '') as labels from match_queries where qname is not null))""",
+    "met": "select qname, k, labels, sec, ad from walked join match_rules using (labels)",
+    "custom": "select qname, cast(min_by(query_id, query_id) % 2 as int) as action from match_queries where query_id % 97 = 0 group by qname",
     "security": "select distinct domain from domains where list_id in ('list_0', 'list_1', 'list_2', 'list_3')",
     "ads": "select distinct domain from domains where list_id not in ('list_0', 'list_1', 'list_2', 'list_3')",
     "catalog": f"""select id, name, url, r2_download_link, rule_count, file_size, timestamp '{X.EPOCH}' + to_hours(age_hours) as last_updated, timestamp '{X.EPOCH}' + to_hours(age_hours) as created_at
@@ -151,17 +157,18 @@ _MANIFEST = """
 _BASE = "https://lists.example.com/"
 _MANIFEST_VIEWS = ("laid_out", "children", "params", "rules", "counted")
 _BITS = "select list_id, pos // 8 as byte_idx, bit_or((1 << (pos % 8))::int) as byte_val from positions group by 1, 2"
-WITH["probed"] = """select distinct qname, suffix, hits = 10 as hit from (select qname, suffix, count(b.pos) as hits from (
-        select qname, suffix, cast(((h1 + i * (f1 + case when f1 % 2 = 0 then 1 else 0 end)) % 18446744073709551616) % (select bit_count from merged) as bigint) as pos
-        from suffix_hashes join suffixes using (suffix), unnest(range(0, 10)) as t(i)) p left join merged_bits b using (pos) group by 1, 2)"""
 _FNV = """list_reduce(list_prepend(14695981039346656037::hugeint, b), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) as h1,
         list_reduce(list_prepend(14695981039346656037::hugeint, b), lambda h, x: xor((h * 1099511628211) % 18446744073709551616, x)) as f1"""
 _BYTES = "list_transform(range(1, length({0}) + 1), lambda i: ord(substr({0}, i, 1))::hugeint) as b"
-WITH["merged"] = "select cast(ceil(ceil(count(distinct domain) * (-ln(0.001)) / (ln(2) * ln(2))) / 8) * 8 as bigint) as bit_count from domains"
-WITH["merged_bits"] = f"""select distinct cast(((h1 + i * (f1 + case when f1 % 2 = 0 then 1 else 0 end)) % 18446744073709551616) % (select bit_count from merged) as bigint) as pos
-        from (select {_FNV} from (select {_BYTES.format("domain")} from (select distinct domain from domains))), unnest(range(0, 10)) as t(i)"""
+WITH["each_list"] = "select list_id, domain from domains union all select 'all', domain from (select distinct domain from domains)"
+WITH["each_size"] = "select list_id, cast(ceil(ceil(count(*) * (-ln(0.001)) / (ln(2) * ln(2))) / 8) * 8 as bigint) as bit_count from each_list group by 1"
+WITH["rule_hashes"] = f"select domain, {_FNV} from (select domain, {_BYTES.format('domain')} from (select distinct domain from domains))"
+_POS = "cast(((h1 + i * (f1 + case when f1 % 2 = 0 then 1 else 0 end)) % 18446744073709551616) % bit_count as bigint)"
+WITH["each_bits"] = f"select distinct list_id, {_POS} as pos from each_list join rule_hashes using (domain) join each_size using (list_id), unnest(range(0, 10)) as t(i)"
+WITH["probed"] = f"""select list_id, suffix, count(b.pos) = 10 as hit from (select list_id, suffix, {_POS} as pos from suffix_hashes, each_size, unnest(range(0, 10)) as t(i)) p
+        left join each_bits b using (list_id, pos) group by 1, 2"""
 WITH["suffix_hashes"] = f"select suffix, {_FNV} from (select suffix, {_BYTES.format('suffix')} from (select distinct suffix from suffixes))"
-_ORDER += ["merged", "merged_bits", "suffix_hashes", "probed"]
+_ORDER += ["each_list", "each_size", "rule_hashes", "each_bits", "suffix_hashes", "probed"]
 
 ORACLE_SQL: dict[str, str] = {
     "scan_list_lines": f"select list_id, count(*) as n_lines, max(strlen(raw)) as longest, max(strlen(raw)) >= 1048576 as too_long from ({X.LANDED_LINES.format(**_TABLES)}) group by 1",
@@ -192,13 +199,12 @@ ORACLE_SQL: dict[str, str] = {
     "bloom_params": with_("params") + "select * from params",
     "bloom_positions": with_("positions") + "select * from positions",
     "bloom_bytes": with_("positions") + _BITS,
-    "match_blocked": with_("covered", "dns_queries") + "select * from dns_queries where qname in (select qname from covered)",
-    "match_clean": with_("covered", "dns_queries") + "select * from dns_queries where qname not in (select qname from covered)",
-    "match_rule": with_("suffixes", "domains") + "select qname, min_by(suffix, labels) as rule, count(*) as n_rules from suffixes where suffix in (select domain from domains) group by 1",
-    "dns_verdict": with_("suffixes", "custom", "security", "ads", "dns_queries") + """select q.*, case when action = 0 then 'allow_custom' when action = 1 then 'block_custom'
-        when q.qname in (select qname from suffixes where suffix in (select domain from security)) then 'block_security'
-        when q.qname in (select qname from suffixes where suffix in (select domain from ads)) then 'block_ad' else 'forward' end as verdict
-        from dns_queries q left join custom using (qname)""",
+    "match_blocked": with_("met", "match_queries") + "select * from match_queries where qname in (select qname from met)",
+    "match_clean": with_("met", "match_queries") + "select * from match_queries where qname is null or qname not in (select qname from met)",
+    "match_rule": with_("met") + "select qname, min_by(case when k = 0 then '.' else array_to_string(list_reverse(labels), '.') end, k) as rule, count(*) as n_rules from met group by 1",
+    "dns_verdict": with_("met", "custom", "match_queries") + """select q.*, case when action = 0 then 'allow_custom' when action = 1 then 'block_custom'
+        when q.qname in (select qname from met where sec) then 'block_security' when q.qname in (select qname from met where ad) then 'block_ad' else 'forward' end as verdict
+        from match_queries q left join custom using (qname)""",
     "catalog_all": with_("catalog") + "select * from catalog order by name, id",
     "catalog_by_url": with_("catalog") + "select * from catalog where url = (select min(url) from catalog)",
     "catalog_dup_urls": with_("catalog", "batch") + "select url, count(*) as n from (select url from catalog union all select url from batch) group by 1 having count(*) > 1",
@@ -248,9 +254,9 @@ ORACLE_SQL: dict[str, str] = {
     "bundle_size": with_(*_MANIFEST_VIEWS) + f"select list_id, cast(sum(n_bytes) as bigint) as file_size from ({_MANIFEST.format(_BASE)}) group by 1",
     "refresh_lists": with_(*_MANIFEST_VIEWS, landed=True) + f"""select list_id, case when domains + cosmetic + scriptlets > 0 then 'ok' else 'failed' end as status, rule_count, coalesce(file_size, 0) as file_size
         from counted left join (select list_id, cast(sum(n_bytes) as bigint) as file_size from ({_MANIFEST.format("file:")}) group by 1) using (list_id)""",
-    "bloom_probe": with_("probed") + "select distinct qname from probed where hit",
-    "bloom_fp_rate": with_("probed", "domains") + """select count(*) as n_clean, count(*) filter (hit) as n_false, count(*) filter (hit) / count(*) as rate
-        from (select suffix, bool_or(hit) as hit from probed group by 1) where suffix not in (select domain from domains)""",
+    "bloom_probe": with_("probed", "suffixes") + "select distinct list_id, qname from suffixes join probed using (suffix) where hit",
+    "bloom_fp_rate": with_("probed", "each_list") + """select list_id, count(*) as n_clean, count(*) filter (hit) as n_false, count(*) filter (hit) / count(*) as rate
+        from probed p where not exists (select 1 from each_list e where e.list_id = p.list_id and e.domain = p.suffix) group by 1""",
     "rules_incremental_add": with_("security", "ads") + "select domain from security union select domain from ads",
     "rules_diff": with_("security", "ads") + "select domain, 'removed' as change from security where domain not in (select domain from ads) union all select domain, 'added' from ads where domain not in (select domain from security)",
     "build_strategy": """select cast(g as bigint) as "group", case when bool_or(was is not null and (now is null or now <> was)) then 'rebuild' when bool_or(was is null) then 'add' else 'cache' end as strategy

@@ -38,6 +38,22 @@ select event_id as query_id, ts,
 from {events}
 """
 
+#: With rules that have a dot at an end or two in a row, and one of a single label.
+MATCH_LINES = f"""
+select list_id, line_no, raw from ({FILTER_LINES}) y
+union all select concat('list_', s_suppkey % 8), s_suppkey, case s_suppkey % 5
+    when 0 then concat('.s', s_suppkey, '.example.org')  when 1 then concat('||s', s_suppkey, '.example.org.^')
+    when 2 then concat('0.0.0.0 p', s_suppkey, '..s', s_suppkey, '.example.org')
+    when 3 then concat('s', s_suppkey, '..example.org..') else 'local.' end from {{supplier}}
+"""
+
+#: With names that are null, that have such dots too, or that end in the single label.
+MATCH_QUERIES = f"""
+select query_id, ts, case query_id % 11 when 3 then concat(qname, '.') when 5 then concat('.', qname)
+  when 7 then replace(qname, '.example', '..example') when 9 then concat('h', query_id % 50, '.local') when 10 then null else qname end as qname
+from ({DNS_QUERIES}) y
+"""
+
 CATALOG_SEED = """
 select min(page_id) + 1 as id, concat('list_', min(page_id)) as name, url, '' as r2_download_link,
   cast(min(length(html)) % 1000 as int) as rule_count, cast(min(length(html)) as bigint) as file_size,
@@ -94,6 +110,14 @@ def dns_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DNS_QUERIES, events=read(spark, sf_dir, "events"))
 
 
+def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MATCH_LINES, lineitem=read(spark, sf_dir, "lineitem"), supplier=read(spark, sf_dir, "supplier"))
+
+
+def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MATCH_QUERIES, events=read(spark, sf_dir, "events"))
+
+
 def filter_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog: id, name, url, r2_download_link, rule_count, file_size, last_updated, created_at."""
     seed = spark.sql(CATALOG_SEED, pages=read(spark, sf_dir, "pages"))

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.errors import AnalysisException
 
-from listloom.operators import artifacts, catalog, increment, rules
+from listloom.operators import artifacts, bloom, catalog, increment, match, rules
 from listloom.plans import catalogue
 from listloom.sources import fixtures, lists
 from listloom.streaming import live
@@ -41,9 +41,28 @@ def test_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_probe_loses_no_match_and_lets_few_through(spark, sf_dir):
-    maybe = {r["qname"] for r in catalogue.QUERIES["bloom_probe"](spark, sf_dir).collect()}
-    assert {r["qname"] for r in catalogue.QUERIES["match_rule"](spark, sf_dir).collect()} <= maybe
-    assert catalogue.QUERIES["bloom_fp_rate"](spark, sf_dir).first()["rate"] < 0.005
+    """Also where no block is broadcast, a filter's blocks are copied and names are dealt over the copies."""
+    domains = rules.domains(rules.first_seen(fixtures.filter_lines(spark, sf_dir)))
+    names = fixtures.dns_queries(spark, sf_dir)
+    held = {r["qname"] for r in match.matched_rule(names, domains).collect()}
+    maybe = catalogue.QUERIES["bloom_probe"](spark, sf_dir)
+    assert held and held <= {r["qname"] for r in maybe.where("list_id = 'all'").collect()}
+    by_list = maybe.where("list_id = 'list_3'")
+    assert {r["qname"] for r in match.matched_rule(names, domains.where("list_id = 'list_3'")).collect()} <= {r["qname"] for r in by_list.collect()}
+    assert all(r["rate"] < 0.01 for r in catalogue.QUERIES["bloom_fp_rate"](spark, sf_dir).collect())
+    pairs = bloom.suffixes(names).selectExpr("explode(array('list_3', 'list_1', 'none')) as list_id", "suffix as name")
+    filters = bloom.filters(domains)
+    want = sorted(tuple(r) for r in bloom.probe(pairs, *filters).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(tuple(r) for r in bloom.probe(pairs, *filters, spread=5).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_probe_has_no_nested_loop_and_few_exchanges(spark, sf_dir):
+    plan = catalogue.QUERIES["bloom_probe"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_every_query_has_sql():
