@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import folders
 from .joins import running
 
 SCHEMA = "id long, name string, url string, r2_download_link string, rule_count int, file_size long, last_updated timestamp, created_at timestamp"
@@ -68,19 +71,53 @@ def upsert(catalog: DataFrame, batch: DataFrame, now: str) -> DataFrame:
 
 
 def write(catalog: DataFrame, folder: str, version: int) -> None:
-    """Writes a snapshot of the catalog; a version that is written again is replaced, others stay."""
-    catalog.select(COLUMNS).write.mode("overwrite").parquet(f"{folder}/version={version}")
+    """Writes a snapshot of the catalog and then publishes it as a version by its marker.
+
+    Until then no reader sees any of it, and what a broken write leaves behind is never read. A version that another writer
+    has published since is refused with `folders.Taken`: read the catalog anew and try the next one.
+    """
+    spark = catalog.sparkSession
+    if version in folders.versions(spark, folder):
+        raise folders.Taken(f"{folder}: version {version}")
+    data = f"data/{version}-{uuid.uuid4().hex}"
+    catalog.select(COLUMNS).write.parquet(f"{folder}/{data}")
+    folders.mark(spark, folder, version, {"data": data})
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The last published version; 0 where there is none."""
+    return max(folders.versions(spark, folder), default=0)
 
 
 def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The last snapshot (before a version); an empty catalog where there is none."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    """The last published snapshot (before a version); an empty catalog where there is none."""
+    known = [v for v in folders.versions(spark, folder) if before is None or v < before]
+    if not known:
         return spark.createDataFrame([], SCHEMA)
-    rows = spark.read.schema(f"{SCHEMA}, version int").parquet(folder)
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    version = rows.agg(F.max("version").alias("v")).first()["v"]
-    return rows.where(F.col("version") == version).select(COLUMNS) if version is not None else spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(f"{folder}/{folders.facts(spark, folder, known[-1])['data']}")
+
+
+def apply(spark: SparkSession, folder: str, batch: DataFrame, now: str, tries: int = 5) -> int:
+    """Upserts a batch into the last snapshot and publishes the next one; begins anew when another writer comes first."""
+    for left in range(tries - 1, -1, -1):
+        version = last_version(spark, folder) + 1
+        try:
+            write(upsert(current(spark, folder, before=version), batch, now), folder, version)
+            return version
+        except folders.Taken:
+            if not left:
+                raise
+    raise AssertionError("tries must be positive")
+
+
+def sweep(spark: SparkSession, folder: str, keep: int = 3) -> None:
+    """Removes all but the last `keep` snapshots, and what broken writes have left: nobody must be writing meanwhile."""
+    kept = folders.versions(spark, folder)[-keep:]
+    live = {folders.facts(spark, folder, v)["data"] for v in kept}
+    for name in folders.names(spark, f"{folder}/data"):
+        if f"data/{name}" not in live:
+            folders.remove(spark, f"{folder}/data/{name}")
+    folders.prune(spark, folder, min(kept, default=0))
 
 
 def delete(catalog: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:

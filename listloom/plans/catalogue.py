@@ -292,7 +292,7 @@ def refresh_lists(spark, sf):
     S.land(X.landed_lines(spark, sf), landed)
     live.refresh(spark, landed, target, state, UPDATED)
     rows = catalog.current(spark, f"{target}/catalog").select(F.col("name").alias("list_id"), "file_size")
-    return spark.read.parquet(f"{target}/runs").where("stage = 'compile'").select("list_id", "status", "rule_count").join(rows, "list_id", "left").fillna(0, ["file_size"])
+    return live.runs(spark, target).where("stage = 'compile'").select("list_id", "status", "rule_count").join(rows, "list_id", "left").fillna(0, ["file_size"])
 
 
 @query

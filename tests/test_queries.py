@@ -9,10 +9,11 @@ from pathlib import Path
 import duckdb
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from listloom.operators import artifacts, bloom, catalog, increment, match, rules
 from listloom.plans import catalogue
-from listloom.sources import fixtures, lists
+from listloom.sources import fixtures, folders, lists
 from listloom.streaming import live
 
 
@@ -96,30 +97,159 @@ def test_refresh_takes_whole_lists_and_isolates_failures(spark, tmp_path, monkey
     land([("d", "||e.com^")])
     live.refresh(spark, landing, target, state, catalogue.UPDATED)
     assert runs(2) == {("d", "ok", "compile", 2), ("d", "failed", "catalog", 2)}
-    summary = catalog.run_summary(spark.read.parquet(f"{target}/runs")).collect()
+    summary = catalog.run_summary(live.runs(spark, target)).collect()
     assert {r["run_id"]: (r["succeeded"], r["failed"]) for r in summary} == {0: (1, 2), 1: (2, 0), 2: (2, 0)}
 
 
-def test_unpublish_leaves_other_files_untouched(spark, tmp_path):
+def test_refresh_reads_only_touched_lists(spark, tmp_path, monkeypatch):
+    """The scan has a partition filter, other lists' files are not read (they could not be), and nothing of a batch stays."""
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    land = lambda rows: lists.land(spark.createDataFrame(rows, "list_id string, raw string"), landing)
+    land([(f"l{k}", f"||a{k}.com^") for k in range(7)] + [("a/b", "||slash.com^")])
+    live.refresh(spark, landing, target, state, catalogue.UPDATED, group=3)
+    assert live.runs(spark, target).count() == 8 and catalog.current(spark, f"{target}/catalog").count() == 8
+    seen = []
+    scan = lists.scan
+    monkeypatch.setattr(lists, "scan", lambda *a, **k: seen.append(scan(*a, **k)) or seen[-1])
+    before = folders.names(spark, folders.shared_base(spark))
+    land([("l3", "||b.com^"), ("new", "||n.com^")])
+    live.refresh(spark, landing, target, state, catalogue.UPDATED, group=3)
+    assert folders.names(spark, folders.shared_base(spark)) == before
+    (df,) = seen
+    files = set(df.inputFiles())
+    assert {f.split("list_id=")[1].split("/")[0] for f in files} == {"l3", "new"} and len(files) == 3
+    assert "PartitionFilters: [" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "list_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r["list_id"]: r["rule_count"] for r in live.runs(spark, target).where("run_id = 1").collect()} == {"l3": 2, "new": 1}
+    assert {r["list_id"] for r in artifacts.published(spark, f"{target}/artifacts").collect()} == {f"l{k}" for k in range(7)} | {"a/b", "new"}
+
+
+def _parts(spark, *rows):
+    return spark.createDataFrame([(x, "css", 0, y) for x, y in rows], "list_id string, entry string, part long, content binary")
+
+
+def _held(parts):
+    return {r["list_id"]: bytes(r["content"]) for r in parts.collect()}
+
+
+def test_readers_see_whole_publications(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "a")
-    parts = spark.createDataFrame([("x/y", "css", 0, b"1"), ("z", "css", 0, b"2")], "list_id string, entry string, part long, content binary")
-    artifacts.publish(parts, folder)
-    before = {p: p.stat().st_mtime_ns for p in Path(folder).glob("list_id=z/*.parquet")}
+    assert artifacts.published(spark, folder).isEmpty() and artifacts.damaged(spark, folder).isEmpty()
+    artifacts.publish(_parts(spark, ("x/y", b"1"), ("z", b"2")), folder)
+    reader = artifacts.published(spark, folder)
+    # A publication that breaks before its marker is not seen, and a reader keeps what it began with.
+    with monkeypatch.context() as m:
+        m.setattr(folders, "mark", lambda *_: (_ for _ in ()).throw(OSError("broken")))
+        with pytest.raises(OSError, match="broken"):
+            artifacts.publish(_parts(spark, ("x/y", b"half"), ("w", b"half")), folder)
+    assert _held(artifacts.published(spark, folder)) == {"x/y": b"1", "z": b"2"}
+    assert {r["list_id"]: r["n_bytes"] for r in artifacts.publish(_parts(spark, ("x/y", b"new")), folder).collect()} == {"x/y": 3}
+    assert _held(reader) == {"x/y": b"1", "z": b"2"} and _held(artifacts.published(spark, folder)) == {"x/y": b"new", "z": b"2"}
+    assert _held(artifacts.published(spark, folder, ["z", "nowhere"])) == {"z": b"2"}
+    data = sorted(Path(folder, "data").glob("*/list_id=z/*.parquet"))
+    before = [p.stat().st_mtime_ns for p in data]
     artifacts.unpublish(spark, folder, ["x/y", "nowhere"])
-    assert [r["list_id"] for r in artifacts.published(spark, folder).collect()] == ["z"]
-    assert before and before == {p: p.stat().st_mtime_ns for p in Path(folder).glob("list_id=z/*.parquet")}
+    assert _held(artifacts.published(spark, folder)) == {"z": b"2"} and before == [p.stat().st_mtime_ns for p in data] and _held(reader)["x/y"] == b"1"
+    assert [r["generation"] for r in artifacts.state(spark, folder).where("list_id = 'x/y'").collect()] == [None]
+    artifacts.sweep(spark, folder, keep=1)
+    assert _held(artifacts.published(spark, folder)) == {"z": b"2"} and len(folders.names(spark, f"{folder}/data")) == 1 == len(folders.names(spark, f"{folder}/state"))
+    artifacts.publish(_parts(spark, ("x/y", b"again")), folder)
+    assert _held(artifacts.published(spark, folder)) == {"z": b"2", "x/y": b"again"} and artifacts.damaged(spark, folder).isEmpty()
+
+
+def test_two_publishers_keep_each_others_lists(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "a")
+    artifacts.publish(_parts(spark, ("a", b"1"), ("b", b"1")), folder)
+    mark, first = folders.mark, []
+
+    def raced(*args):
+        if not first:
+            first.append(1)
+            artifacts.publish(_parts(spark, ("b", b"2"), ("c", b"2")), folder)
+        mark(*args)
+
+    monkeypatch.setattr(folders, "mark", raced)
+    artifacts.publish(_parts(spark, ("a", b"3"), ("d", b"3")), folder)
+    assert _held(artifacts.published(spark, folder)) == {"a": b"3", "b": b"2", "c": b"2", "d": b"3"}
+
+
+def test_damaged_parts_are_found(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    artifacts.publish(_parts(spark, ("a", b"1"), ("b", b"22")), folder)
+    (file,) = Path(folder, "data").glob("*/list_id=b/*.parquet")
+    bad = _parts(spark, ("b", b"2x")).selectExpr("entry", "part", "content", "2L as n_bytes", "sha2('22', 256) as sha256")
+    bad.coalesce(1).write.parquet(str(tmp_path / "bad"))
+    (other,) = (tmp_path / "bad").glob("*.parquet")
+    file.write_bytes(other.read_bytes())
+    Path(file.parent, f".{file.name}.crc").unlink()
+    assert [tuple(r) for r in artifacts.damaged(spark, folder).collect()] == [("b", "css", 0)]
 
 
 def test_catalog_snapshots(spark, tmp_path, sf_dir):
     folder = str(tmp_path / "catalog")
-    assert catalog.current(spark, folder).count() == 0
+    assert catalog.current(spark, folder).count() == 0 == catalog.last_version(spark, folder)
     rows_ = fixtures.filter_lists(spark, sf_dir)
     catalog.write(rows_, folder, 3)
     catalog.write(rows_.limit(2), folder, 10)
-    catalog.write(rows_.limit(1), folder, 10)
-    assert catalog.current(spark, folder).count() == 1
+    with pytest.raises(folders.Taken):
+        catalog.write(rows_.limit(1), folder, 10)
+    assert catalog.current(spark, folder).count() == 2 and catalog.last_version(spark, folder) == 10
     assert rows(catalog.current(spark, folder, before=10).toPandas()) == rows(rows_.toPandas())
     assert catalog.current(spark, folder, before=3).count() == 0
+    catalog.write(rows_.limit(1), folder, 11)
+    catalog.sweep(spark, folder, keep=2)
+    assert folders.versions(spark, folder) == [10, 11] and len(folders.names(spark, f"{folder}/data")) == 2
+    assert catalog.current(spark, folder, before=11).count() == 2
+
+
+def test_a_broken_catalog_write_leaves_the_last_snapshot(spark, tmp_path, sf_dir):
+    """A task that fails in the middle of a write leaves files behind, and no reader takes them for a snapshot."""
+    folder = str(tmp_path / "catalog")
+    rows_ = fixtures.filter_lists(spark, sf_dir)
+    catalog.write(rows_, folder, 1)
+    half = rows_.repartition(4).withColumn("name", F.when(F.col("id") % 20 == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="lost"):
+        catalog.write(half, folder, 2)
+    Path(folder, "data", "2-left").mkdir(parents=True)
+    assert rows(catalog.current(spark, folder).toPandas()) == rows(rows_.toPandas()) and folders.versions(spark, folder) == [1]
+    catalog.write(rows_.limit(1), folder, 2)
+    assert catalog.current(spark, folder).count() == 1
+
+
+def test_a_second_catalog_writer_begins_anew(spark, tmp_path, monkeypatch, sf_dir):
+    folder = str(tmp_path / "catalog")
+    rows_ = fixtures.filter_lists(spark, sf_dir)
+    batch = fixtures.upsert_batch(rows_)
+    write, first = catalog.write, []
+
+    def raced(frame, *args):
+        if not first:
+            first.append(1)
+            write(rows_, folder, 1)
+        write(frame, *args)
+
+    monkeypatch.setattr(catalog, "write", raced)
+    assert catalog.apply(spark, folder, batch, fixtures.NOW) == 2
+    assert rows(catalog.current(spark, folder).toPandas()) == rows(catalog.upsert(rows_, batch, fixtures.NOW).toPandas())
+
+
+def test_stream_restarts_repeat_nothing(spark, tmp_path):
+    """A native append-mode stream: names of any depth, the root's rule, and a restart that finds only the new file."""
+    landed, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    deep = ".".join("abcdefghijklmnopqrstuvwxyz")
+    domains = spark.createDataFrame([("sec", "a.com."), ("ad", "b.com"), ("sec", deep), ("ad", "x." + deep)], "list_id string, domain string")
+    custom = spark.createDataFrame([("own.a.com", 0)], "qname string, action int")
+    put = lambda names, at: spark.createDataFrame([(at + k, n) for k, n in enumerate(names)], "query_id long, qname string").coalesce(1).write.mode("append").parquet(landed)
+    go = lambda side: live.verdicts(spark.readStream.schema("query_id long, qname string").parquet(landed), custom, side, target, state)
+    got = lambda: {r["query_id"]: r["verdict"] for r in spark.read.parquet(target).collect()}
+    side = match.sides(domains, F.col("list_id") == "sec")
+    put(["a.com", "q.a.com.", "own.a.com", "b.com", "c.com", None, f"q.{deep}", f"y.x.{deep}", deep[2:]], 0)
+    go(side)
+    want = dict(enumerate(["block_security", "block_security", "allow_custom", "block_ad", "forward", "forward", "block_security", "block_security", "forward"]))
+    assert got() == want
+    go(side)
+    put(["b.com", "c.com", None], 100)
+    go(match.sides(domains.union(spark.createDataFrame([("ad", ".")], "list_id string, domain string").selectExpr("list_id", "domain")), F.col("list_id") == "sec"))
+    assert got() == want | {100: "block_ad", 101: "block_ad", 102: "forward"} and spark.read.parquet(target).count() == 12
 
 
 def test_upsert_twice_is_once_and_last_row_counts(spark, sf_dir):
@@ -150,6 +280,37 @@ def test_add_then_difference_is_empty(spark, sf_dir):
     assert increment.difference(whole, increment.added(whole, two)).isEmpty()
 
 
+def test_lists_of_several_files_keep_their_order(spark, tmp_path):
+    """Files by name, lines numbered from 1 through all of them, also where a file is read in many pieces; CSS in that order."""
+    folder = tmp_path / "list_id=l"
+    folder.mkdir()
+    texts = {f"part-{k}.txt": "".join(f"##.f{k}-{i}\n" if i % 5 else "! c\r\n" for i in range(n)) for k, n in ((2, 40), (0, 3000), (1, 1), (3, 700))}
+    for name, text in texts.items():
+        (folder / name).write_text(text, newline="")
+    (tmp_path / "list_id=other").mkdir()
+    (tmp_path / "list_id=other" / "a.txt").write_bytes(b"a.com\rb.com\n\n##.x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = lists.scan(spark, str(tmp_path)).where("list_id = 'l'").orderBy("line_no").collect()
+        css = artifacts.css_parts(rules.first_seen(lists.scan(spark, str(tmp_path), ["l"]))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [x.removesuffix("\r") for name in sorted(texts) for x in texts[name].split("\n")[:-1]]
+    assert [r["raw"] for r in found] == want and [r["line_no"] for r in found] == list(range(1, len(want) + 1))
+    assert b"".join(bytes(r["content"]) for r in sorted(css, key=lambda r: r["part"])).decode() == "".join(f"{x}\n" for x in dict.fromkeys(want) if x.startswith("##"))
+    other = lists.scan(spark, str(tmp_path), ["other", "nowhere"]).orderBy("line_no").collect()
+    assert [(r["line_no"], r["raw"], r["n_bytes"]) for r in other] == [(1, "a.com\rb.com", 11), (2, "", 0), (3, "##.x", 4)]
+    assert lists.scan(spark, str(tmp_path), ["nowhere"]).isEmpty()
+
+
+@pytest.mark.parametrize("body, fails", [(b"x" * 1048575 + b"\n", False), (b"x" * 1048574 + b"\r\n", False), (b"x" * 1048575 + b"\r\n", True), (b"x" * 1048576, True), (b"x" * 1048575, False)])
+def test_a_line_is_measured_with_its_carriage_return(spark, tmp_path, body, fails):
+    Path(tmp_path, "a.txt").write_bytes(b"b.com\n" + body)
+    assert [r["list_id"] for r in lists.too_long(lists.scan(spark, str(tmp_path))).collect()] == ["a"] * fails
+
+
 def test_scan_of_files(spark, tmp_path):
     Path(tmp_path, "a.txt").write_bytes(b"||a.com^\r\n! c\r\n\r\nb.com\n")
     Path(tmp_path, "b.txt").write_bytes(b"x" * (1 << 20) + b"\nc.com\n")
