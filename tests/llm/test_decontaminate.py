@@ -108,6 +108,49 @@ def test_exact_passages_and_clean_documents(spark, sf_dir, documents):
     assert inside and inside == {(r["doc_id"], r["item_id"]) for r in found if r["edits"] == 0}
 
 
+def test_cost_follows_the_hits_not_the_benchmark(monkeypatch):
+    """Zipf words: all common words and pairs are some item's, yet few windows are keyed or checked."""
+    rng = random.Random(4)
+    common = [f"w{k}" for k in range(2000)]
+    weight = [1 / (k + 1) for k in range(2000)]
+    text = lambda n: " ".join(rng.choices(common, weight, k=n))
+    docs = [(k, text(300)) for k in range(60)]
+    looked = []
+    judge = decontaminate.Block._judge
+    monkeypatch.setattr(decontaminate.Block, "_judge", lambda self, n, own, *rest: looked.append(len(own)) or judge(self, n, own, *rest))
+    for n in (100, 3000):
+        looked.clear()
+        found_in(docs, decontaminate.Block([(k, text(rng.randint(24, 60))) for k in range(n)]))
+        assert sum(looked) <= 2.0 * 60 * 300
+
+
+def test_long_items_are_found_by_keys():
+    rng = random.Random(9)
+    items = [(j, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for j in range(12)]
+    block, docs = decontaminate.Block(items), []
+    assert block.repeats[300] > 0
+    for j, text in items:
+        w = text.split()
+        for at in rng.sample(range(300), 60 if j % 2 else 10):
+            w[at] = f"z{rng.randrange(10**6)}"
+        docs.append((j, " ".join(["a b c d"] + w + ["e f g"])))
+    found = found_in(docs, block)
+    assert found.keys() == {(j, j) for j in range(12)} and all(v == [4, 300, 60 if j % 2 else 10] for (j, _), v in found.items())
+
+
+def test_an_item_of_some_thousand_words_takes_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    block = decontaminate.Block([(1, " ".join(words)), (2, "x y z")], edits=0.02)
+    tracemalloc.start()
+    found = found_in([(0, " ".join(words[:100] + ["new"] + words[100:])), (1, " ".join(words[2500:]))], block)
+    assert found == {(0, 1): [0, 4999, 2]} or found == {(0, 1): [0, 5000, 2]}, found
+    assert tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
 def test_odd_rows(spark, odd, write_tables, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, "one two three four five"), (5, "One, two; three four five!"), (None, "x")], "item_id long, text string")
     rows = decontaminate.op8_decontaminate(spark, write_tables(odd, benchmark=items)).collect()
