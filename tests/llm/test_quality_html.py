@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 
 from listloom.llm import html, quality
 
@@ -133,3 +134,29 @@ def test_null_pages_and_empty_table(spark, empty, write_tables):
     rows = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.op4_html_text(spark, write_tables(empty, pages=pages)).collect())
     assert rows == [(1, "", 0), (2, "", 0), (2, "a & b", 5)]
     assert html.op4_html_text(spark, write_tables(empty, pages=pages.limit(0))).collect() == []
+
+
+LONG = "<p>" + "A paragraph of the article with more than enough words to weigh something. " * 4 + "</p>"
+TWO = " ".join(["A paragraph of the article with more than enough words to weigh something."] * 8)
+MENU = "<div class=menu><a href=/>Home</a> <a href=/b>News</a></div>"
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<form id=aspnetForm method=post>", "</form>"), ('<div class="wrapper header-fixed">', "</div>"), ('<div class="content sidebar-right">', "</div>"),
+    ('<form><div class="page-wrapper sidebar-left"><section class="header-fixed">', "</section></div></form>"), ('<div role="banner main">', "</div>"),
+])
+def test_no_page_is_lost_to_a_word(open_, close):
+    """A form or a class around the whole page says nothing; inside it the same words still tell a menu from the text."""
+    assert html.main_text(f"<body>{open_}{MENU}{LONG}{LONG}<div class=sidebar><p>Also on this site today</p></div>{close}</body>") == TWO
+
+
+def test_short_parts_of_a_series_are_kept():
+    body = f"<div id=a>{LONG}{LONG}</div><div id=b>{LONG}{LONG}</div><div id=c><p>Short end.</p></div>"
+    assert html.main_text(f"<body>{body}</body>") == f"{TWO} {TWO} Short end."
+    assert html.main_text(f"<body>{body}<div id=d><a href=/>More</a></div><div id=e class=x><p>Other</p></div></body>") == f"{TWO} {TWO} Short end."
+
+
+def test_comments_are_left_out_however_many():
+    comments = "<div class=comments>" + LONG * 9 + "</div>"
+    assert html.main_text(f"<body><div class=post>{LONG}{LONG}</div>{comments}</body>") == TWO
+    assert html.main_text(f"<body><form><div class=post>{LONG}{LONG}</div>{comments}</form></body>") == TWO
