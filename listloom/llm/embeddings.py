@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, table
-from .graph import components
+from .graph import components, joined
 
 SAMPLE = 20_000
 PROBES = 400
@@ -323,8 +323,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    classes = _hashed(classes).select("key", "h1", "h2", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    own = _hashed(good).select("vec_id", "key", "h1", "h2").join(classes, ["key", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    copy = F.struct("key", "h1", "h2").alias("copy")  # copies of one vector, however many, are dealt
+    classes = _hashed(classes).select(copy, (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    own = joined(_hashed(good).select("vec_id", copy), classes, "copy", vectors.count(), "inner").select("vec_id", "n_links", "component_id")
     return own.unionAll(vectors.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import cut
 
 #: Bytes of text in a chunk, on average.
 CHUNK = 2_000_000
 LEAST, MOST = 512, 16_384
+#: Bytes that a row counts beside its text.
+ROW = 64
 #: Bits of a hash that are sent beside its bucket while levels only thin out candidates: a few in a hundred of the hashes
 #: that occur once are let through, whatever the size of the corpus, as a bucket holds some 300,000 hashes at most.
 LOW_BITS = 24
@@ -47,17 +50,35 @@ def planned(chunks: int) -> Plan:
     return Plan(chunks, fan * fan, fan)
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK) -> tuple[DataFrame, Plan]:
-    """(chunk, doc_id, text) and the plan, by the bytes of all texts.
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = None) -> tuple[DataFrame, Plan]:
+    """(chunk, doc_id, text, times) and the plan, by the bytes of all texts.
 
     The chunk follows from id, text and the piece of the file that a row was read from: rows that repeat an id or have none
-    spread by their text, and equal rows by where they stand. It is the same whenever a row is read again.
+    spread by their text, and equal rows by where they stand. It is the same whenever a row is read again. Rows that are
+    equal in id and text and have together more bytes than a chunk, or than a millionth of the corpus, stand there once
+    with the number of `times` that they are there; see `repeated`. There are at most a million of these.
     """
+    size = size or CHUNK
     total = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
     plan = planned(max(1, math.ceil(total / size)))
-    id_ = F.col(doc_id).cast("long")
+    id_, one = F.col(doc_id).cast("long"), F.lit(1).cast("long")
     place = F.xxhash64(id_, F.col(text), F.input_file_name(), F.input_file_block_start())
-    return docs.select(F.pmod(place, F.lit(plan.chunks)).cast("int").alias("chunk"), id_.alias("doc_id"), F.col(text).alias("text")), plan
+    rows = docs.select(id_.alias("doc_id"), F.col(text).alias("text"), place.alias("place"))
+    keyed = rows.withColumns({"h1": F.xxhash64("doc_id", "text"), "h2": F.xxhash64("text", F.lit(1), "doc_id")})
+    same = keyed.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW).alias("bytes"))
+    many = cut(same.where((F.col("times") > 1) & (F.col("times") * F.col("bytes") > max(size, total // 1_000_000))).select("h1", "h2", "times"))
+    if many.isEmpty():
+        rows = rows.withColumn("times", one)
+    else:
+        known = F.broadcast(many)
+        single = keyed.join(known, ["h1", "h2"]).groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "place", "times")))
+        rows = keyed.join(known, ["h1", "h2"], "left_anti").select("doc_id", "text", "place", one.alias("times")).unionAll(cut(single.select("doc_id", "text", "place", "times")))
+    return rows.select(F.pmod("place", F.lit(plan.chunks)).cast("int").alias("chunk"), "doc_id", "text", "times"), plan
+
+
+def repeated(results: DataFrame) -> DataFrame:
+    """Each result as many times as its row stood in the input, without the column that says so."""
+    return results.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def _planes(values: np.ndarray, planes: int | None = None) -> np.ndarray:

@@ -199,7 +199,7 @@ def _sides(labelled: DataFrame, details: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("big"), F.max("n").alias("most"), F.sum("n").alias("all"))
     apart = groups.where("most < all and all > 2").select("key", "big", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("ts"), F.ceil(F.col("all") / TILE).cast("int").alias("ta"))
-    rows = labelled.select("key", "rep", "component").join(apart, "key").join(details, "rep").withColumn("other", F.col("component") != F.col("big"))
+    rows = joined(labelled.select("key", "rep", "component"), apart, "key", labelled.count(), "inner").join(details, "rep").withColumn("other", F.col("component") != F.col("big"))
     tile = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ("other", "rep", "component", "bands", "coords", "brief")
@@ -226,9 +226,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     details = classes.select("rep", "bands", "coords").join(_shares(sets).withColumnRenamed("id", "rep"), "rep")
     more = _confirmed(_open_pairs(_sides(labelled, details), num, den), sets, num, den)
     found = cut(components(links.unionAll(more)))
-    by_class = classes.select("s1", "s2", F.col("n_shingles").alias("n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    whole = all_.join(by_class, (all_["s1"] == by_class["s1"]) & (all_["s2"] == by_class["s2"]) & (all_["n_shingles"] == by_class["n"]), "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Rows without a shingle stay alone; those of a class with very many copies are dealt.
+    class_ = F.struct("s1", "s2", "n_shingles").alias("class")
+    by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(class_, F.coalesce("component", "rep").alias("component_id"))
+    some = all_.where("n_shingles > 0").select("doc_id", "n_shingles", class_)
+    whole = joined(some, by_class, "class", all_.count())
+    alone = all_.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionAll(alone)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def _older(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keep, values["a"][keep]
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept string"
+KEPT = "doc_id long, n_words long, n_removed long, kept string, times long"
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
@@ -153,9 +153,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
             if n_removed[k]:
                 words = [w for w, g in zip(words, gone[cuts[k] : cuts[k + 1]], strict=True) if not g]
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(cuts), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(cuts), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string()), "times": rows.column("times")})
 
-    return by_chunk.cogroup(X.exchanged(sent, plan, _LAST_KIND, _older, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT)
+    return X.repeated(by_chunk.cogroup(X.exchanged(sent, plan, _LAST_KIND, _older, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT))
 
 
 def _three(f):

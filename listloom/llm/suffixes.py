@@ -258,7 +258,7 @@ def _shared_strings(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np
     return keep, values["a"][keep]
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, first array<long>, last array<long>, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, first array<long>, last array<long>, kept binary, times long"
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -302,8 +302,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             starts = [c.strings(np.flatnonzero(asked & (code > 0))), single[X.among(c.string_hashes(single), X.received(answered, X.HASH_KIND, plan))], c.repeated(near)]
             gone = K.covered(np.unique(np.concatenate(starts)), length, len(c.data))
         kept, firsts, lasts, removed = [], [], [], []
-        for a, b in zip(c.at[:-1], c.at[1:], strict=True):
+        for a, b, times in zip(c.at[:-1], c.at[1:], rows.column("times").to_pylist(), strict=True):
             mine = gone[a:b]
+            if times > 1 and len(mine) >= length:  # every string of it is in its equals too
+                mine[:] = True
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
             firsts.append(edge[::2])
             lasts.append(edge[1::2])
@@ -311,13 +313,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept.append(c.data[a:b][~mine].tobytes())
         return pa.table({
             "doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "first": pa.array(firsts, pa.list_(pa.int64())), "last": pa.array(lasts, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()),
+            "first": pa.array(firsts, pa.list_(pa.int64())), "last": pa.array(lasts, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()), "times": rows.column("times"),
         })
 
     asked = X.shared(by_chunk.applyInArrow(anchors, X.SENT), plan)
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(contexts, X.SENT)
     sent = by_chunk.cogroup(X.exchanged(sent, plan, _CONTEXT_KIND, _sorted_contexts, _CODE_KIND).groupBy("chunk")).applyInArrow(strings, X.SENT)
-    return by_chunk.cogroup(X.exchanged(sent, plan, _STRING_KIND, _shared_strings, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT)
+    return X.repeated(by_chunk.cogroup(X.exchanged(sent, plan, _STRING_KIND, _shared_strings, X.HASH_KIND).groupBy("chunk")).applyInArrow(remove, KEPT))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_many_chunks_and_other_lengths(spark, documents, monkeypatch, most):
     from listloom.llm import exchange
 
     monkeypatch.setattr(exchange, "MOST", most)  # 5: arrays go by routers
-    monkeypatch.setattr(exchange.chunked, "__defaults__", ("doc_id", "text", 20_000))
+    monkeypatch.setattr(exchange, "CHUNK", 20_000)
     rows = list(zip(documents.doc_id.tolist(), documents.text, strict=True))[:120]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for n in (3, 8, 21):
@@ -64,3 +64,17 @@ def test_many_chunks_and_other_lengths(spark, documents, monkeypatch, most):
 
 def test_empty(spark, empty, write_tables):
     assert substrings.op5_substring_dedup(spark, write_tables(empty)).collect() == []
+
+
+def test_many_equal_rows(spark, documents, monkeypatch):
+    """Rows that are equal in id and text are judged once and given as often as they stand."""
+    from listloom.llm import exchange
+
+    monkeypatch.setattr(exchange, "CHUNK", 20_000)
+    text = max(documents.text, key=len)[:3000]
+    rows = [(5, text)] * 300 + [(9, "some words " + text[500:1500])] + [(3, text[100:800])] + [(None, "a b c")] * 9000 + [(5, "")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many, plan = exchange.chunked(docs)
+    assert plan.chunks > 40 and many.where("times > 1").count() == 2 and exchange.repeated(many).count() == len(rows)
+    found = [(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substrings.dedup(docs).collect()]
+    assert sorted(found, key=str) == sorted(brute([r for r in rows if r[0] is not None]) + [(None, 3, 0, hashlib.sha256(b"a b c").hexdigest())] * 9000, key=str)

@@ -44,7 +44,7 @@ def test_equals_brute_force(spark, sf_dir, documents):
 @pytest.mark.parametrize("most", [16_384, 5])
 def test_many_chunks_and_edges(spark, documents, monkeypatch, most):
     monkeypatch.setattr(exchange, "MOST", most)  # 5: arrays go by routers
-    monkeypatch.setattr(exchange.chunked, "__defaults__", ("doc_id", "text", 9_000))
+    monkeypatch.setattr(exchange, "CHUNK", 9_000)
     rng = random.Random(6)
     passages = [t[:700] for t in documents.text[:6] if len(t) > 700]
     rows = [(k, t[:3000]) for k, t in enumerate(documents.text[:40])]
@@ -64,3 +64,26 @@ def test_odd_rows(spark, odd, write_tables):
 
 def test_empty(spark, empty, write_tables):
     assert suffixes.op9_suffix_dedup(spark, write_tables(empty)).collect() == []
+
+
+def test_equal_rows_of_one_file_are_no_hot_chunk(spark, documents, tmp_path):
+    """20,000 equal rows of 2 KB shrink to one small piece of a file; also rows below the string length, and others that share theirs."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "docs")
+    text = documents.text[documents.text.str.len().idxmax()][:2000]
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    short = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("short " * 20).alias("text"))
+    other = [(100, "before " * 9 + "\x01" + text[300:900] + "\x01" + " after" * 9), (101, "nothing of it " * 2), (7, "short " * 21), (7, text), (102, "")]
+    same.union(short).union(spark.createDataFrame(other, same.schema)).coalesce(1).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    chunks, plan = exchange.chunked(docs)
+    sizes = [r["n"] for r in chunks.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert plan.chunks > 20 and max(sizes) <= 4 * docs.agg(F.sum(F.octet_length("text"))).first()[0] / plan.chunks
+    assert exchange.repeated(chunks.drop("chunk")).count() == docs.count()
+    found = suffixes.dedup(docs).groupBy("doc_id", "n_bytes", "n_removed", "kept").agg(F.count("*").alias("n"), F.max(F.size("first")).alias("spans")).collect()
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"]), r["n"], r["spans"]) for r in found}
+    size = len(text.encode())
+    rest = len(other[0][1].encode()) - len(text[300:900].encode())
+    assert (7, size, size, b"", 20_001, 1) in got and (None, 120, 0, b"short " * 20, 60_000, 0) in got and (7, 126, 0, b"short " * 21, 1, 0) in got
+    assert {(r[0], r[1] - r[2], r[4]) for r in got if r[0] in (100, 101, 102)} == {(100, rest, 1), (101, 28, 1), (102, 0, 1)} and sum(r[4] for r in got) == docs.count()
