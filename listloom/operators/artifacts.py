@@ -8,13 +8,11 @@ what it has under one name.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources import folders
+from ..sources import generations
 from . import bloom, trie
 from .rules import domains
 
@@ -113,88 +111,53 @@ def bundle_size(parts: DataFrame) -> DataFrame:
     return parts.groupBy("list_id").agg(F.sum(F.octet_length("content")).cast("long").alias("file_size"))
 
 
-def publish(parts: DataFrame, folder: str, tries: int = 5) -> DataFrame:
-    """Publishes the parts of some lists; those lists are replaced as a whole, others stay. Returns list_id and n_bytes of them.
-
-    Parts go to a generation folder of their own with their length and SHA-256; then a new state of the table, a row a list
-    with the generation that holds it, is written and switched by one marker. A reader sees the state that it began with, whose
-    generations stay until `sweep`. Of two writers the one that comes second takes up the other's lists.
-    """
-    spark = parts.sparkSession
-    generation = uuid.uuid4().hex
-    marked = parts.select("entry", "part", "content", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), "list_id")
-    marked.write.partitionBy("list_id").parquet(f"{folder}/data/generation={generation}")
-    new = spark.read.schema(_DATA).parquet(f"{folder}/data/generation={generation}").groupBy("list_id").agg(F.sum("n_bytes").alias("n_bytes"))
-    new = new.select("list_id", F.lit(generation).alias("generation"), "n_bytes")
-    _switch(spark, folder, new, tries)
-    return new.select("list_id", "n_bytes")
-
-
 _DATA = "entry string, part long, content binary, n_bytes long, sha256 string, list_id string"
 _STATE = "list_id string, generation string, n_bytes long"
 
 
-def _switch(spark: SparkSession, folder: str, new: DataFrame, tries: int) -> None:
-    """Publishes the next state: rows of `new` instead of those of the same lists."""
-    for left in range(tries - 1, -1, -1):
-        version = max(folders.versions(spark, folder), default=0) + 1
-        path = f"state/{version}-{uuid.uuid4().hex}"
-        old = state(spark, folder).join(new.select("list_id"), "list_id", "left_anti")
-        old.unionByName(new).write.parquet(f"{folder}/{path}")
-        try:
-            return folders.mark(spark, folder, version, {"state": path})
-        except folders.Taken:
-            if not left:
-                raise
+def publish(parts: DataFrame, folder: str) -> DataFrame:
+    """Publishes the parts of some lists; those lists are replaced as a whole, others stay. Returns list_id and n_bytes of them.
+
+    Parts go to a generation of their own (see `generations`) with their length and SHA-256, from which sizes are summed;
+    a reader in the middle of it sees the old bytes whole, and they stay until `sweep`.
+    """
+    spark, generation = parts.sparkSession, generations.new()
+    marked = parts.select("entry", "part", "content", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), "list_id")
+    at = generations.path(folder, "data", generation)
+    marked.write.partitionBy("list_id").parquet(at)
+    new = spark.read.schema(_DATA).parquet(at).groupBy("list_id").agg(F.sum("n_bytes").alias("n_bytes"))
+    generations.switch(spark, folder, _STATE, "list_id", new.select("list_id", F.lit(generation).alias("generation"), "n_bytes"))
+    return new
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame:
     """list_id, generation, n_bytes of all lists ever published; the generation is null once a list is taken back."""
-    known = folders.versions(spark, folder)
-    return spark.read.schema(_STATE).parquet(f"{folder}/{folders.facts(spark, folder, known[-1])['state']}") if known else spark.createDataFrame([], _STATE)
+    return generations.state(spark, folder, _STATE)
 
 
-def _generations(spark: SparkSession, folder: str, list_ids: list[str] | None) -> DataFrame:
-    """All columns of the published parts, of some lists or of all: only generations that hold one of them are read."""
-    now = state(spark, folder).where("generation is not null")
-    now = now if list_ids is None else now.where(F.col("list_id").isin(list_ids))
-    live = sorted(r["generation"] for r in now.select("generation").distinct().collect())  # one a publication that is not swept
-    if not live:
-        return spark.createDataFrame([], _DATA)
-    paths = [f"{folder}/data/generation={g}" for g in live]
-    parts = spark.read.schema(f"{_DATA}, generation string").option("basePath", f"{folder}/data").parquet(*paths)
-    parts = parts if list_ids is None else parts.where(F.col("list_id").isin(list_ids))
-    return parts.join(now.select("list_id", "generation"), ["list_id", "generation"], "left_semi").select("entry", "part", "content", "n_bytes", "sha256", "list_id")
+def _parts(spark: SparkSession, folder: str, list_ids: list[str] | None) -> DataFrame:
+    now = state(spark, folder)
+    rows = generations.read(spark, folder, "data", _DATA, now if list_ids is None else now.where(F.col("list_id").isin(list_ids)), "list_id")
+    return rows if list_ids is None else rows.where(F.col("list_id").isin(list_ids))
 
 
 def published(spark: SparkSession, folder: str, list_ids: list[str] | None = None) -> DataFrame:
     """The parts of all lists, or of some, as they are published now."""
-    return _generations(spark, folder, list_ids).select(*COLUMNS)
+    return _parts(spark, folder, list_ids).select(*COLUMNS)
 
 
 def damaged(spark: SparkSession, folder: str) -> DataFrame:
     """list_id, entry, part of published parts whose bytes are not those that were written."""
     bad = (F.octet_length("content") != F.col("n_bytes")) | (F.sha2("content", 256) != F.col("sha256"))
-    return _generations(spark, folder, None).where(bad).select("list_id", "entry", "part")
+    return _parts(spark, folder, None).where(bad).select("list_id", "entry", "part")
 
 
-def unpublish(spark: SparkSession, folder: str, list_ids: list[str], tries: int = 5) -> None:
+def unpublish(spark: SparkSession, folder: str, list_ids: list[str]) -> None:
     """Takes some lists back: their rows of the state become tombstones. Unknown lists do no harm, no file is touched."""
     gone = state(spark, folder).where(F.col("list_id").isin(list_ids)).select("list_id", F.lit(None).cast("string").alias("generation"), F.lit(0).cast("long").alias("n_bytes"))
-    _switch(spark, folder, gone, tries)
+    generations.switch(spark, folder, _STATE, "list_id", gone)
 
 
 def sweep(spark: SparkSession, folder: str, keep: int = 2) -> None:
-    """Removes generations that none of the last `keep` states names, older states, and what broken writes have left. Nobody must be writing meanwhile, and readers of older states must be done."""
-    kept = folders.versions(spark, folder)[-keep:]
-    paths = {folders.facts(spark, folder, v)["state"] for v in kept}
-    rows = None
-    for path in sorted(paths):
-        one = spark.read.schema(_STATE).parquet(f"{folder}/{path}").where("generation is not null")
-        rows = one if rows is None else rows.unionAll(one)
-    live = {f"generation={r['generation']}" for r in rows.select("generation").distinct().collect()} if rows is not None else set()
-    for kind, held in (("data", live), ("state", {p.removeprefix("state/") for p in paths})):
-        for name in folders.names(spark, f"{folder}/{kind}"):
-            if name not in held:
-                folders.remove(spark, f"{folder}/{kind}/{name}")
-    folders.prune(spark, folder, min(kept, default=0))
+    """Removes what none of the last `keep` states holds; see `generations.sweep`."""
+    generations.sweep(spark, folder, _STATE, keep)

@@ -62,6 +62,11 @@ def blocks(positions_: DataFrame) -> DataFrame:
     return put.repartition("list_id", "block").groupBy("list_id", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
+def joined_blocks(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The blocks of filters of equal size, bit by bit or'ed."""
+    return one.unionByName(two).groupBy("list_id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
 def filter_bytes(blocks_: DataFrame) -> DataFrame:
     """list_id, byte_idx, byte_val of the bytes that are not zero; bit 0 of a byte is its lowest."""
     letters = F.split(F.decode("bits", "ISO-8859-1"), "")  # a letter for each byte

@@ -35,10 +35,26 @@ def children(nodes_: DataFrame) -> DataFrame:
     return up.groupBy("list_id", "path").agg(F.count("*").alias("child_count"), F.sum(F.octet_length("label") + 6).cast("long").alias("child_bytes"))
 
 
+def counted(nodes_: DataFrame) -> DataFrame:
+    """Nodes with child_count and child_bytes, 0 where there is no child."""
+    return nodes_.join(children(nodes_), ["list_id", "path"], "left").fillna(0, ["child_count", "child_bytes"])
+
+
+def merged(counted_: DataFrame, domains: DataFrame) -> DataFrame:
+    """Counted nodes (as of `counted`) with the paths of more domains; only what the new paths change is counted anew."""
+    old = counted_.select("list_id", "path", "is_terminal", "child_count", "child_bytes", F.lit(True).alias("old"))
+    new = nodes(domains).select("list_id", "path", "is_terminal", F.lit(0).cast("long").alias("child_count"), F.lit(0).cast("long").alias("child_bytes"), F.lit(False).alias("old"))
+    both = old.unionByName(new).groupBy("list_id", "path").agg(F.bool_or("is_terminal").alias("is_terminal"), F.sum("child_count").alias("child_count"), F.sum("child_bytes").alias("child_bytes"), F.bool_or("old").alias("old"))
+    both = both.withColumn("depth", F.size("path"))
+    more = children(both.where("not old")).select("list_id", "path", F.col("child_count").alias("more"), F.col("child_bytes").alias("more_bytes"))
+    summed = both.join(more, ["list_id", "path"], "left").fillna(0, ["more", "more_bytes"])
+    return summed.select("list_id", "path", "depth", "is_terminal", (F.col("child_count") + F.col("more")).alias("child_count"), (F.col("child_bytes") + F.col("more_bytes")).alias("child_bytes"))
+
+
 def laid_out(nodes_: DataFrame) -> DataFrame:
     """Nodes with child_count, bfs_index (the root is 0), byte_offset in the serialised trie, and labels_before: the bytes
     of the child records of all nodes before, from which a child's place in its parent's record follows."""
-    full = nodes_.join(children(nodes_), ["list_id", "path"], "left")
+    full = nodes_ if "child_count" in nodes_.columns else counted(nodes_)
     own = F.when(F.col("depth") > 0, F.octet_length(F.try_element_at("path", F.lit(-1))) + 6).otherwise(0).cast("long")
     full = full.select("list_id", "path", "depth", "is_terminal", F.coalesce("child_count", F.lit(0)).alias("child_count"), (F.coalesce("child_bytes", F.lit(0)) + 5).alias("n_bytes"), own.alias("n_label"))
     placed = running(full, ["list_id"], ["depth", "path"], {"bfs_index": F.lit(1), "before": F.col("n_bytes"), "labels_before": F.col("n_label")}, "nodes")

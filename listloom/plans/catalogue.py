@@ -496,6 +496,30 @@ def rules_incremental_add(spark, sf):
     return increment.added(*_sides(spark, sf))
 
 
+def _built(spark, sf):
+    """Two builds of three groups of lists, the second after one group got lists, one lost and changed some, one stayed."""
+    lines = _lines(spark, sf)
+    read = lambda ids: lines.where(F.col("list_id").isin(ids))
+    members = lambda rows: spark.createDataFrame(rows, "group string, id string, modified long")
+    folder = shared_folder(spark, "build")
+    stays = [("solo", "list_0", 1)]
+    increment.build(spark, folder, members([("security", x, 1) for x in SECURITY[:2]] + [("ads", x, 1) for x in LISTS[4:8]] + stays), read)
+    increment.build(spark, folder, members([("security", x, 1) for x in SECURITY] + [("ads", x, 2 if x == "list_5" else 1) for x in LISTS[4:7]] + stays), read)
+    return folder
+
+
+@query
+def incremental_offsets(spark, sf):
+    """Layout of the tries after an incremental build: as of a whole one."""
+    return trie.laid_out(increment.built(spark, _built(spark, sf), "nodes")).select("list_id", _joined(), "is_terminal", "bfs_index", "byte_offset")
+
+
+@query
+def incremental_bloom(spark, sf):
+    """Bytes of the filters after an incremental build."""
+    return bloom.filter_bytes(increment.built(spark, _built(spark, sf), "blocks"))
+
+
 @query
 def rules_diff(spark, sf):
     return increment.difference(*_sides(spark, sf))

@@ -264,5 +264,9 @@ ORACLE_SQL: dict[str, str] = {
         when page_id % 40 % 4 = 2 and page_id % 9 = 2 then null when page_id % 40 % 4 = 0 and page_id % 9 = 0 then null else page_id end as now from pages)
         where was is not null or now is not null group by 1""",
 }
+_GROUPED = "domains as (select distinct g as list_id, domain from one_list join (select 'security' as g, unnest(['list_0', 'list_1', 'list_2', 'list_3']) as list_id union all select 'ads', unnest(['list_4', 'list_5', 'list_6']) union all select 'solo', 'list_0') using (list_id))"
+_OWN = f"domains as ({WITH['domains']})"
+ORACLE_SQL["incremental_offsets"] = with_("laid_out").replace(_OWN, f"one_list as ({WITH['domains']}), {_GROUPED}") + "select list_id, array_to_string(path, '/') as path, is_terminal, bfs_index, byte_offset from laid_out"
+ORACLE_SQL["incremental_bloom"] = with_("positions").replace(_OWN, f"one_list as ({WITH['domains']}), {_GROUPED}") + _BITS
 ORACLE_SQL["stream_verdict"] = ORACLE_SQL["dns_verdict"]
 ORACLE_SQL["catalog_write"] = ORACLE_SQL["catalog_upsert"]

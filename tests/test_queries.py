@@ -103,7 +103,8 @@ def test_refresh_takes_whole_lists_and_isolates_failures(spark, tmp_path, monkey
 
 def test_refresh_reads_only_touched_lists(spark, tmp_path, monkeypatch):
     """The scan has a partition filter, other lists' files are not read (they could not be), and nothing of a batch stays."""
-    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    landing, target, state, shared = (str(tmp_path / x) for x in ("in", "out", "state", "shared"))
+    monkeypatch.setattr(folders, "shared_base", lambda _: shared)
     land = lambda rows: lists.land(spark.createDataFrame(rows, "list_id string, raw string"), landing)
     land([(f"l{k}", f"||a{k}.com^") for k in range(7)] + [("a/b", "||slash.com^")])
     live.refresh(spark, landing, target, state, catalogue.UPDATED, group=3)
@@ -111,10 +112,10 @@ def test_refresh_reads_only_touched_lists(spark, tmp_path, monkeypatch):
     seen = []
     scan = lists.scan
     monkeypatch.setattr(lists, "scan", lambda *a, **k: seen.append(scan(*a, **k)) or seen[-1])
-    before = folders.names(spark, folders.shared_base(spark))
+    assert folders.names(spark, shared) == []
     land([("l3", "||b.com^"), ("new", "||n.com^")])
     live.refresh(spark, landing, target, state, catalogue.UPDATED, group=3)
-    assert folders.names(spark, folders.shared_base(spark)) == before
+    assert folders.names(spark, shared) == []
     (df,) = seen
     files = set(df.inputFiles())
     assert {f.split("list_id=")[1].split("/")[0] for f in files} == {"l3", "new"} and len(files) == 3
