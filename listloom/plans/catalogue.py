@@ -330,6 +330,12 @@ def catalog_page(spark, sf):
     return catalog.page(X.filter_lists(spark, sf), page=2, limit=0, search="list", sort="size", order="asc")
 
 
+@query
+def catalog_deep_page(spark, sf):
+    """A page beyond the rows that a heap takes: found by ranges of the order."""
+    return catalog.page(X.filter_lists(spark, sf), page=3, limit=15, sort="rule", order="desc", top=20, size_of_range=8)
+
+
 @query
 def catalog_meta(spark, sf):
     return catalog.meta(X.filter_lists(spark, sf), page=2, limit=0, search="list")

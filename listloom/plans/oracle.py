@@ -211,6 +211,7 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_search": with_("catalog") + "select * from catalog where name ilike '%st_1%' or url ilike '%st_1%'",
     "catalog_sorted": with_("catalog") + "select id, name, rule_count, row_number() over (order by rule_count desc, id) as place from catalog order by rule_count desc, id limit 100",
     "catalog_page": with_("catalog") + "select * from catalog where name ilike '%list%' or url ilike '%list%' order by file_size, id limit 10 offset 10",
+    "catalog_deep_page": with_("catalog") + "select * from catalog order by rule_count desc, id limit 15 offset 30",
     "catalog_meta": with_("catalog") + "select 2 as current_page, 10 as \"limit\", count(*) as total_records, cast(ceil(count(*) / 10.0) as int) as total_pages from catalog where name ilike '%list%' or url ilike '%list%'",
     "catalog_upsert": with_("catalog", "batch") + f"""select c.id, coalesce(b.name, c.name) as name, c.url, coalesce(b.r2_download_link, c.r2_download_link) as r2_download_link,
         coalesce(b.rule_count, c.rule_count) as rule_count, coalesce(b.file_size, c.file_size) as file_size, case when b.url is null then c.last_updated else timestamp '{X.NOW}' end as last_updated, c.created_at

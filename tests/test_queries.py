@@ -269,6 +269,19 @@ def test_page_arguments_and_order():
     assert ["last_updated DESC" in text[0][0], "name ASC" in text[1][0], "name DESC" in text[2][0], "file_size DESC" in text[3][0], "rule_count ASC" in text[4][0]] == [True] * 5
 
 
+def test_deep_pages_sort_only_their_range(spark, sf_dir):
+    rows_ = fixtures.filter_lists(spark, sf_dir).withColumn("rule_count", (F.col("id") % 7).cast("int"))
+    for sort, order in (("rule", ""), ("name", "desc"), ("size", "asc"), ("", "")):
+        whole = rows_.orderBy(*catalog.order_columns(sort, order)).collect()
+        for number, limit in ((3, 4), (2, 7), (5, 10), (1, 60), (40, 10)):
+            found = catalog.page(rows_, number, limit, sort=sort, order=order, top=0, size_of_range=6)
+            size = catalog.page_arguments(number, limit)[1]
+            assert found.collect() == whole[(number - 1) * size : number * size]
+    deep = catalog.page(rows_, 9, 5, sort="rule", top=20, size_of_range=6)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in deep and "limit=45" not in deep and "_piece" in deep
+    assert catalog.page(rows_, 10_000_000, 100).isEmpty()
+
+
 def test_delete_reports_unknown_urls(spark, sf_dir):
     rows_ = fixtures.filter_lists(spark, sf_dir)
     left, unknown = catalog.delete(rows_, spark.createDataFrame([("nowhere",)], "url string"))
