@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.lines import once
 from ..sources.folders import stored
+from .joins import dealt
 
 #: Target false-positive rate, used too where a rate is out of range.
 RATE = 0.001
@@ -17,6 +18,8 @@ RATE = 0.001
 BLOCK = 4096
 #: Copies of a filter's blocks that names are dealt over, at least, and the hashes that each round of a probe asks for.
 SPREAD, ROUNDS = 64, ((0, 2), (2, 5), (5, 2**31 - 1))
+#: Lists whose sizes are broadcast: some 50 bytes each.
+FEW = 500_000
 
 
 def bit_count(n: Column, rate: float = RATE) -> Column:
@@ -45,8 +48,7 @@ def hashed(names: DataFrame, name: str = "domain") -> DataFrame:
 
 def positions(domains: DataFrame, params_: DataFrame) -> DataFrame:
     """list_id, domain, i, pos: the bit that each of the k hashes sets."""
-    # The size table has a row a list; Spark broadcasts it only below its own size threshold.
-    with_size = hashed(domains).join(params_.select("list_id", "bit_count", "hash_count"), "list_id")
+    with_size = dealt(hashed(domains), params_.select("list_id", "n", "bit_count", "hash_count"), ["list_id"])
     each = with_size.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hash_count") - 1)))
     return each.select("list_id", "domain", "i", H.position(F.col("hash"), F.col("i"), F.col("bit_count")).alias("pos"))
 
@@ -94,7 +96,11 @@ def probe(pairs: DataFrame, sizes: DataFrame, blocks_: DataFrame, spread: int =
     of a filter with less than `spread` blocks are repeated, and its names dealt over the copies.
     """
     sized = sizes.select("list_id", "bit_count", "hash_count", _copies(F.col("bit_count"), spread).alias("copies"))
-    left = hashed(pairs.select("list_id", "name").distinct(), "name").join(sized, "list_id")
+    distinct = pairs.select("list_id", "name").distinct()
+    if sizes.count() <= FEW:
+        left = hashed(distinct, "name").join(F.broadcast(sized), "list_id")
+    else:
+        left = dealt(hashed(distinct, "name"), sized.join(distinct.groupBy("list_id").agg(F.count("*").alias("n")), "list_id"), ["list_id"])
     every = blocks_.join(sized.select("list_id", "copies"), "list_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     for first, end in ROUNDS:
         last = F.least(F.lit(end), F.col("hash_count"))

@@ -5,7 +5,7 @@ labels are the first ones of the name's. So `a.com.` is the rule `a.com`, and a
 name, as the root of a trie does that is marked itself. Paths are compared by two rolling 64-bit hashes, one step a label.
 
 Distinct names are exploded into their paths; the paths are counted and meet the rules once each, and only those that hit
-go back to the names. Where many names share a path, or many rows a name, the join deals them over tasks.
+are stored and go back to the names. Where many names share a path, or many rows a name, the join deals them over tasks.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import once, reversed_labels
+from ..sources.folders import stored
 from .joins import HOT, dealt
 
+#: Custom rules that are broadcast: some 50 bytes each.
+FEW = 500_000
 #: What a rule without a label is called.
 ROOT = "."
 _STEPS = "array<struct<a:bigint,b:bigint>>"
@@ -51,50 +54,39 @@ def sides(domains: DataFrame, security: Column) -> DataFrame:
     return rule_paths(domains, sec=security, ad=~security)
 
 
-def _names(queries: DataFrame) -> DataFrame:
-    """qname, n and paths of every distinct name."""
-    counted = queries.where("qname is not null").groupBy("qname").agg(F.count("*").alias("n"))
-    return once(counted, "paths", label_paths(F.col("qname")))
+def _met(queries: DataFrame, rules: DataFrame, most: int) -> DataFrame:
+    """qname, n and each rule that covers the name, with the rule's other columns; n is the number of rows of the name.
 
-
-def _met(names: DataFrame, rules: DataFrame, most: int) -> DataFrame:
-    """qname and each rule below the root that covers it, with the rule's other columns."""
-    each = names.select("qname", F.explode("paths").alias("path")).select("qname", "path.a", "path.b")
+    The root is a path of every name. Rules that some name reaches are stored with the number of names that do: they are
+    few beside the paths, and that table tells which joins are small.
+    """
+    names = queries.where("qname is not null").groupBy("qname").agg(F.count("*").alias("n"))
+    top = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    each = names.select("qname", F.col("n").alias("rows"), F.explode(F.concat(top, label_paths(F.col("qname")))).alias("path")).select("qname", "rows", "path.a", "path.b")
     reached = each.groupBy("a", "b").agg(F.count("*").alias("n"))
-    hits = reached.join(rules.where("depth > 0"), ["a", "b"])
-    return dealt(each, hits, ["a", "b"], "inner", most).drop("a", "b")
-
-
-def _rooted(names: DataFrame, rules: DataFrame, **columns: Column) -> DataFrame:
-    """names with columns of the root's rule, null where there is none; it is one row at most."""
-    root = rules.where("depth = 0").select(F.lit(0).alias("_top"), *(v.alias(k) for k, v in columns.items()))
-    return names.withColumn("_top", F.lit(0)).join(F.broadcast(root), "_top", "left").drop("_top")
+    hits = stored(reached.join(rules, ["a", "b"]), "reached")
+    return dealt(each, hits, ["a", "b"], "inner", most).drop("a", "b").withColumnRenamed("rows", "n")
 
 
-def covered(queries: DataFrame, rules: DataFrame, most: int = HOT) -> DataFrame:
-    """qname, n: the distinct names that some rule (of `rule_paths`) covers, and the rows of each."""
-    names = _names(queries)
-    met = _met(names, rules, most).select("qname").distinct().withColumn("hit", F.lit(True))
-    both = _rooted(names.select("qname", "n").join(met, "qname", "left"), rules, root=F.lit(True))
-    return both.where("hit or root").select("qname", "n")
+def _once(met: DataFrame, *columns: Column) -> DataFrame:
+    """A stored row for each covered name: qname, n and aggregates over its rules."""
+    return stored(met.groupBy("qname").agg(F.first("n").alias("n"), *columns), "covered")
 
 
 def blocked(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
-    return dealt(queries, covered(queries, rule_paths(domains), most), ["qname"], "left_semi", most)
+    """Queries whose name some rule covers."""
+    return dealt(queries, _once(_met(queries, rule_paths(domains), most)), ["qname"], "left_semi", most)
 
 
 def clean(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
     """Queries that no rule covers; a null name is covered by none."""
-    return dealt(queries, covered(queries, rule_paths(domains), most), ["qname"], "left_anti", most)
+    return dealt(queries, _once(_met(queries, rule_paths(domains), most)), ["qname"], "left_anti", most)
 
 
 def matched_rule(queries: DataFrame, domains: DataFrame, most: int = HOT) -> DataFrame:
     """qname, rule, n_rules: the shortest covering rule, which a walk from the top-level domain meets first, and how many
     rules lie on the name's path."""
-    rules, names = rule_paths(domains), _names(queries)
-    met = _met(names, rules, most).groupBy("qname").agg(F.min_by("rule", "depth").alias("rule"), F.count("*").alias("n_rules"))
-    both = _rooted(names.select("qname").join(met, "qname", "left"), rules, root=F.lit(ROOT))
-    return both.select("qname", F.coalesce("root", "rule").alias("rule"), (F.coalesce("n_rules", F.lit(0)) + F.when(F.col("root").isNotNull(), 1).otherwise(0)).alias("n_rules")).where("n_rules > 0")
+    return _met(queries, rule_paths(domains), most).groupBy("qname").agg(F.min_by("rule", "depth").alias("rule"), F.count("*").alias("n_rules"))
 
 
 def verdict(action: Column, sec: Column, ad: Column) -> Column:
@@ -104,11 +96,10 @@ def verdict(action: Column, sec: Column, ad: Column) -> Column:
 
 def verdicts(queries: DataFrame, custom: DataFrame, rules: DataFrame, most: int = HOT) -> DataFrame:
     """queries with a verdict, worked out once a name. custom: qname, action; rules: of `sides`."""
-    names = _names(queries)
-    met = _met(names, rules, most).groupBy("qname").agg(F.bool_or("sec").alias("sec"), F.bool_or("ad").alias("ad"))
-    both = names.select("qname", "n").join(met, "qname", "left").join(custom.select("qname", "action"), "qname", "left")
-    both = _rooted(both, rules, root_sec=F.col("sec"), root_ad=F.col("ad"))
-    sec, ad = (F.coalesce(c, F.lit(False)) | F.coalesce(f"root_{c}", F.lit(False)) for c in ("sec", "ad"))
-    judged = both.select("qname", "n", verdict(F.col("action"), sec, ad).alias("verdict"))
-    out = dealt(queries, judged, ["qname"], "left", most)
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit("forward")))
+    met = _once(_met(queries, rules, most), F.bool_or("sec").alias("_sec"), F.bool_or("ad").alias("_ad"))
+    own, both = stored(custom.select("qname", F.col("action").alias("_action")), "custom"), dealt(queries, met, ["qname"], "left", most)
+    if own.count() <= FEW:
+        both = both.join(F.broadcast(own), "qname", "left")
+    else:
+        both = dealt(both, own.join(queries.groupBy("qname").agg(F.count("*").alias("n")), "qname"), ["qname"], "left", most)
+    return both.withColumn("verdict", verdict(F.col("_action"), F.col("_sec"), F.col("_ad"))).drop("_action", "_sec", "_ad")

@@ -204,30 +204,30 @@ LISTS = (*(f"list_{k}" for k in range(8)), "all")
 
 
 def _probed(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rules of each list, suffixes of all names with the names that have each, and the suffixes that a list's filter may hold."""
+    """Rules of each list, all suffixes with the number of names that have each, and the suffixes that a list's filter may
+    hold, with that number."""
     domains = stored(_domains(spark, sf), "domains")
-    domains = stored(domains.unionByName(bloom.merged(domains)), "domains")
-    names = bloom.suffixes(X.dns_queries(spark, sf))
-    counted = names.groupBy("suffix").agg(F.count("*").alias("n"))
+    domains = domains.unionByName(bloom.merged(domains))
+    counted = stored(bloom.suffixes(X.dns_queries(spark, sf)).groupBy("suffix").agg(F.count("*").alias("n")), "suffixes")
     pairs = counted.select(F.explode(F.array(*map(F.lit, LISTS))).alias("list_id"), F.col("suffix").alias("name"))
     maybe = bloom.probe(pairs, *bloom.filters(domains)).select("list_id", F.col("name").alias("suffix"))
-    return domains, names, maybe.join(counted, "suffix")
+    return domains, counted, stored(maybe.join(counted, "suffix"), "maybe")
 
 
 @query
 def bloom_probe(spark, sf):
     """Names that a list's filter lets through: some suffix may be a rule of the list."""
-    _, names, maybe = _probed(spark, sf)
-    return joins.dealt(names, maybe, ["suffix"]).select("list_id", "qname").distinct()
+    _, _, maybe = _probed(spark, sf)
+    return joins.dealt(bloom.suffixes(X.dns_queries(spark, sf)), maybe, ["suffix"]).select("list_id", "qname").distinct()
 
 
 @query
 def bloom_fp_rate(spark, sf):
     """For each list the distinct suffixes that are no rule of it, and the share of them that its filter lets through."""
-    domains, names, maybe = _probed(spark, sf)
-    flags = maybe.select("list_id", "suffix", F.lit(True).alias("hit")).join(domains.select("list_id", F.col("domain").alias("suffix"), F.lit(True).alias("rule")), ["list_id", "suffix"], "left")
+    domains, counted, maybe = _probed(spark, sf)
+    flags = maybe.select("list_id", "suffix").join(domains.select("list_id", F.col("domain").alias("suffix"), F.lit(True).alias("rule")), ["list_id", "suffix"], "left")
     tally = flags.groupBy("list_id").agg(F.count("rule").alias("held"), (F.count("*") - F.count("rule")).alias("n_false"))
-    total = names.agg(F.count_distinct("suffix").alias("n")).select(F.explode(F.array(*map(F.lit, LISTS))).alias("list_id"), "n")
+    total = counted.agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, LISTS))).alias("list_id"), "n")
     both = total.join(tally, "list_id", "left").na.fill(0)
     return both.select("list_id", (F.col("n") - F.col("held")).alias("n_clean"), "n_false", (F.col("n_false") / (F.col("n") - F.col("held"))).alias("rate"))
 

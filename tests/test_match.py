@@ -66,7 +66,8 @@ def test_matches_are_those_of_a_walk(spark, more, most):
 
 
 @pytest.mark.parametrize("most", [joins.HOT, 2])
-def test_verdicts_by_side_and_custom_rule(spark, most):
+def test_verdicts_by_side_and_custom_rule(spark, most, monkeypatch):
+    monkeypatch.setattr(match, "FEW", 0 if most == 2 else 500_000)
     domains = spark.createDataFrame([("sec", "a.com"), ("ad", "a.com."), ("ad", "b.com"), ("sec", "x.b.com"), ("ad", "x..b.com")], "list_id string, domain string")
     names = ["a.com", "q.a.com", "b.com", "q.b.com", "q.x.b.com.", "c.com", None, "own.a.com", "own.c.com", "a.com", "a.com"]
     queries = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "query_id long, qname string")

@@ -63,7 +63,9 @@ def test_probe_loses_no_match_and_lets_few_through(spark, sf_dir):
 
 def test_probe_has_no_nested_loop_and_few_exchanges(spark, sf_dir):
     plan = catalogue.QUERIES["bloom_probe"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    offsets = catalogue.QUERIES["trie_offsets"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert offsets.count("Exchange") - offsets.count("BroadcastExchange") <= 6
 
 
 def test_every_query_has_sql():
