@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .frames import cut, small_batches, table
-from .graph import components, joined
+from .graph import SHARE, components, joined
 
 BANDS, ROWS = 20, 4
 #: Members of a band's group in one tile, on average.
@@ -198,8 +198,11 @@ def _sides(labelled: DataFrame, details: DataFrame) -> DataFrame:
     """
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("big"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    apart = groups.where("most < all and all > 2").select("key", "big", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("ts"), F.ceil(F.col("all") / TILE).cast("int").alias("ta"))
-    rows = joined(labelled.select("key", "rep", "component"), apart, "key", labelled.count(), "inner").join(details, "rep").withColumn("other", F.col("component") != F.col("big"))
+    apart = groups.where("most < all and all > 2").select("key", "all", "big", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("ts"), F.ceil(F.col("all") / TILE).cast("int").alias("ta"))
+    apart, own = cut(apart), labelled.select("key", "rep", "component")
+    # Members of hot bands (fewer than SHARE) meet their band where they are; the others are shuffled.
+    hot = F.col("key").isin([r["key"] for r in apart.where(F.col("all") * SHARE > labelled.count()).select("key").collect()])
+    rows = own.where(hot).join(F.broadcast(apart.where(hot)), "key").unionAll(own.where(~hot).join(apart.where(~hot), "key")).join(details, "rep").withColumn("other", F.col("component") != F.col("big"))
     tile = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ("other", "rep", "component", "bands", "coords", "brief")
