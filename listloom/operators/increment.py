@@ -83,7 +83,7 @@ def build(spark: SparkSession, folder: str, members: DataFrame, read: Callable[[
         sizes = spark.read.schema(KINDS["sizes"]).parquet(at["sizes"])
         same = sizes.join(kept["sizes"].select("list_id", "bit_count"), ["list_id", "bit_count"], "left_semi").select("list_id")
         added = fresh.join(same, "list_id", "left_semi").unionByName(domains.join(same, "list_id", "left_anti"))
-        bloom.joined_blocks(kept["blocks"].join(same, "list_id", "left_semi"), bloom.blocks(bloom.positions(added, sizes))).write.parquet(at["blocks"])
+        bloom.joined_blocks(kept["blocks"].join(same, "list_id", "left_semi"), bloom.built(added, sizes)).write.parquet(at["blocks"])
         now = spark.createDataFrame([(g,) for g, _ in touched], "group string").join(members.select("group").distinct().withColumn("there", F.lit(True)), "group", "left")
         generations.switch(spark, folder, _STATE, "list_id", now.select(group, F.when(F.col("there"), F.lit(generation)).alias("generation")))
         return touched

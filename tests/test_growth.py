@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from listloom.functions import hashing, lines
-from listloom.operators import catalog, rules
+from listloom.operators import artifacts, bloom, catalog, rules, trie
 from listloom.sources import lists
 
 
@@ -41,3 +41,32 @@ def test_scanned_lines_are_not_shuffled(spark, tmp_path):
     found = lists.scan(spark, str(tmp_path))
     assert [r["raw"] for r in found.orderBy("line_no").collect()] == ["one", "", "two\r", "three"]
     assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_trimmed_without_a_pattern(spark):
+    df = spark.createDataFrame([(chr(c) + "a" + chr(c) + "b" + chr(c) * 2,) for c in range(1, 0x3100)] + [("",), (" \u3000",), (None,)], "x string")
+    assert df.where(~lines.trim(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).isEmpty()
+    assert "regexp_replace" not in _plan(rules.classified(spark.createDataFrame([("l", 1, " ||a.com^ ")], lists.LINES)))
+
+
+def test_filters_are_built_without_a_row_for_each_bit(spark):
+    some = random.Random(2)
+    names = ["\u00e9" * 30, "x" * 300, "*.a.b", " ", "A.b", "a.b", *(f"{some.random()}.\u00e9.com" for _ in range(9000))]
+    df = spark.createDataFrame([("a" if k % 9 else f"l{k % 5}", n) for k, n in enumerate(names)], "list_id string, domain string")
+    sizes = bloom.params(df)
+    found = [{(r["list_id"], r["block"]): bytes(r["bits"]) for r in b.collect()} for b in (bloom.built(df, sizes), bloom.blocks(bloom.positions(df, sizes)))]
+    assert len(found[0]) > 6 and found[0] == found[1]
+    plan = _plan(artifacts.bloom_parts(df))
+    assert "bitmap_construct_agg" not in plan and "hash_count" in plan and "aggregate(" not in plan
+
+
+def test_children_are_counted_without_a_join(spark):
+    df = spark.createDataFrame([("l", n) for n in ("a.com", "b.a.com", "c.a.com", "d.net")] + [("m", "a.com")], "list_id string, domain string")
+    nodes = trie.nodes(df)
+    assert "Join" not in _plan(trie.counted(nodes))
+    joined = nodes.join(trie.children(nodes), ["list_id", "path"], "left").fillna(0, ["child_count", "child_bytes"])
+    assert sorted(map(tuple, trie.counted(nodes).collect())) == sorted(map(tuple, joined.collect()))
